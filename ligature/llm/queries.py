@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligature.llm import lookalike, terms, topn
+from ligature.llm import encoding, lookalike, terms, topn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(_table(spark, sf_dir, "candidate_pairs"), "s1_row", "pool_row", "score_all", 10).select("s1_row", "pool_row")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_ids": p7_ids,
 }
 
 SQL: dict[str, str] = {
