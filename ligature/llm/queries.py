@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligature.llm import encoding, lookalike, terms, topn
+from ligature.llm import encoding, leaks, lookalike, terms, topn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {
