@@ -55,6 +55,21 @@ def plain(text: str) -> str:
     return text.lower()
 
 
+_COMMENT = re.compile(r"(?<!\\)%[^\n]*")
+
+
+def readings(text: str) -> list[str]:
+    """A text with its comments' words and, if it has comments, once more without them.
+
+    A passage may stand in a comment, and a comment may stand in a passage.
+    """
+    whole = plain(text)
+    if "%" not in text:
+        return [whole]
+    bare = _COMMENT.sub(" ", text)
+    return [whole] if len(bare) == len(text) else [whole, plain(bare)]
+
+
 _DROP, _WORD, _GAP = 0, 1, 2
 
 
@@ -193,9 +208,10 @@ def _corpus_prints(k: int, w: int, bits: int, bitmap, block_chars: int, batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             text = text.as_py()
             if text:
-                keys.append(key)
-                texts.append(plain(text))
-                size += len(text)
+                for reading in readings(text):
+                    keys.append(key)
+                    texts.append(reading)
+                    size += len(reading)
             if size >= block_chars:
                 yield work(keys, texts, b.column(0).type)
                 keys, texts, size = [], [], 0
