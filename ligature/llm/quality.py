@@ -37,10 +37,12 @@ _BIBLIOGRAPHY = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliogra
 _SWITCH = re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\]]*\])?(?:\{[^}]*\})?")
 _COMMAND = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?|[{}~$]")
 _COMMENT = re.compile(r"(?<!\\)%.*")
-_WORDS = re.compile(r"[^\W\d_]+")
-_PROSE_WORD = re.compile(r"[^\W\d_]{2,}")
-_BULLET = re.compile(r"\s*(?:\\item\b|[-*•·‣–+o]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|#)")
+_LETTER_WORD = re.compile(r"[^\W\d_]\S*")
+_PUNCTUATION = str.maketrans("", "", ".,;:!?()")
+_BULLET = re.compile(r"\s*(?:\\item\b|--?\s|[*•·‣–—+o]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|#)")
 _CELLS = re.compile(r"\s*(?:&|\||;|\t|,| {2,})\s*")
+_DENSE = re.compile(r"[,;|\t](?=\S)|\s\|\s|(?<=\S) {2,}(?=\S)")
+_PHRASE = re.compile(r"[^\W\d_][\w'’ \\\"`^~{}-]*")
 _BROKEN = re.compile(r"Ã.|Â.|â€|�|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _NUMBER = re.compile(r"[-+±$\\pm .,\d%eE]*\d[-+±$\\pm .,\d%eE]*|--|-|n/?a|NaN|null|nan")
 FIELDS = ["words", "chars", "mean_word_length", "symbol_ratio", "ellipsis_lines", "punctuated_lines", "bullet_lines", "letter_words", "common_share", "repeated_lines"]
@@ -63,7 +65,7 @@ def body(text: str) -> str:
 
 def _unreadable(line: str, tokens: list[str]) -> bool:
     """Random characters, dumps, broken encoding or one word over and over."""
-    if len(_BROKEN.findall(line)) > 0.03 * len(line):
+    if not line.isascii() and len(_BROKEN.findall(line)) > 0.03 * len(line):
         return True
     letters = sum(map(str.isalpha, line))
     if letters < 0.5 * (len(line) - line.count(" ")):
@@ -76,6 +78,15 @@ def _unreadable(line: str, tokens: list[str]) -> bool:
     return odd > 0.4 * len(tokens)
 
 
+def _row(line: str) -> bool:
+    """Cells of numbers and short phrases, parted as in an exported table."""
+    if len(_DENSE.findall(line)) < 2:
+        return False
+    cells = [c for c in _CELLS.split(line.strip().rstrip("\\").strip()) if c]
+    numbers = sum(map(bool, map(_NUMBER.fullmatch, cells)))
+    return len(cells) >= 3 and numbers >= 1 and numbers + sum(map(bool, map(_PHRASE.fullmatch, cells))) >= 0.9 * len(cells)
+
+
 def line_kinds(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, words, characters) of every line of the body; kind is prose, list, table or junk."""
     inside: list[str] = []
@@ -102,24 +113,23 @@ def line_kinds(text: str) -> Iterator[tuple[str, int, int]]:
         if env == _MATH:
             yield "prose", words, chars
             continue
-        common = sum(1 for w in tokens if w.lower().strip(".,;:!?()") in COMMON)
-        key = " ".join(tokens)
-        seen[key] += 1
-        if common >= 0.12 * words and words >= 4 and env != _TABLE:
-            if seen[key] > 3 or len(set(tokens)) < 0.3 * words and words > 20 or len(_BROKEN.findall(line)) > 0.03 * len(line):
+        common = sum(map(COMMON.__contains__, bare.lower().translate(_PUNCTUATION).split()))
+        seen[bare] += 1
+        bullet = _BULLET.match(line)
+        if env == _TABLE or line.count("&") >= 2 or _row(line):
+            yield "table", words, chars
+            continue
+        if common >= 0.12 * words and words >= 4 and not (words < 12 and (bullet or env == _LIST) and line.rstrip()[-1] not in ".!?"):
+            if seen[bare] > 3 or words > 20 and len(set(tokens)) < 0.3 * words or not line.isascii() and len(_BROKEN.findall(line)) > 0.03 * len(line):
                 yield "junk", words, chars
+            elif words > 12 and (parts := line.count(",") + line.count(";")) >= 8 and words <= 4 * parts:
+                yield "list", words, chars  # many short phrases in a row
             else:
                 yield "prose", words, chars
             continue
-        bullet = _BULLET.match(line)
         cells = [c for c in _CELLS.split(line.strip().rstrip("\\").strip()) if c]
-        numbers = sum(1 for c in cells if _NUMBER.fullmatch(c))
-        if env == _TABLE or line.count("&") >= 2:
-            yield "table", words, chars
-        elif env == _LIST and (bullet or words < 12):
+        if env == _LIST and (bullet or words < 12):
             yield "list", words, chars
-        elif len(cells) >= 3 and numbers >= 0.25 * len(cells) and numbers >= 1 and len(cells) < 40 and not _unreadable(" ".join(c for c in cells if not _NUMBER.fullmatch(c)) or "a", ["a"]):
-            yield "table", words, chars
         elif _unreadable(bare, tokens):
             yield "junk", words, chars
         elif bullet or len(cells) >= 5 and all(len(c.split()) <= 5 for c in cells):
@@ -162,8 +172,8 @@ def general(text: str) -> list[float]:
     return [
         float(words), float(chars), sum(map(len, tokens)) / words, symbols / words,
         sum(x.endswith(("...", "…")) for x in lines) / n, sum(x.endswith((".", "!", "?", '"', "»", "”")) for x in lines) / n,
-        sum(bool(_BULLET.match(x)) for x in lines) / n, sum(1 for w in tokens if any(map(str.isalpha, w))) / words,
-        sum(1 for w in tokens if w.lower() in COMMON) / words, 1 - len(set(lines)) / n,
+        sum(map(bool, map(_BULLET.match, lines))) / n, len(_LETTER_WORD.findall(text)) / words,
+        sum(map(COMMON.__contains__, text.lower().split())) / words, 1 - len(set(lines)) / n,
     ]
 
 
@@ -199,13 +209,13 @@ def reasons() -> Column:
     return F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
 
 
-def no_prose(df: DataFrame, key: str, text: str, least_words: int = 20) -> DataFrame:
+def no_prose(df: DataFrame, key: str, text: str, least_chars: int = 100) -> DataFrame:
     """Documents whose body is, by more than half of its words and of its characters, no prose: (key, kind).
 
     ``kind`` is the class with the most characters: list, table or junk. Null, empty and blank texts are no
-    case, nor are bodies of fewer than ``least_words`` words. Repeated rows give one row each.
+    case, nor are bodies of fewer than ``least_chars`` characters. Repeated rows give one row each.
     """
     s = statistics(df, key, text)
     most = F.greatest("list_chars", "table_chars", "junk_chars")
     kind = F.when(F.col("junk_chars") == most, "junk").when(F.col("table_chars") == most, "table").otherwise("list")
-    return s.where((F.col("body_words") >= least_words) & F.array_contains(reasons(), "body_no_prose")).select(key, kind.alias("kind"))
+    return s.where((F.col("body_chars") >= least_chars) & F.array_contains(reasons(), "body_no_prose")).select(key, kind.alias("kind"))
