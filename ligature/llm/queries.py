@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligature.llm import encoding, leaks, lookalike, quality, terms, topn
+from ligature.llm import encoding, leaks, lookalike, quality, terms, topn, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("mark is not null").select("field", "term", "mark")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = variants.name_pairs(_table(spark, sf_dir, "train_source1"), "entity_id", "business_name", "country")
+    return pairs.select(F.col("key_a").alias("entity_id_a"), F.col("key_b").alias("entity_id_b"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lookalike.lookalike_pairs(_table(spark, sf_dir, "train_source1"), "entity_id", "business_name")
     return pairs.select(F.col("key_a").alias("entity_id_a"), F.col("key_b").alias("entity_id_b"))
@@ -41,6 +46,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
