@@ -42,3 +42,26 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 def spread(spark: SparkSession) -> int:
     """Number of partitions for CPU-heavy narrow work: the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Needless where the package is installed on all machines, harmless there.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_ligature_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ligature-package-"), "ligature.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("ligature", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._ligature_shipped = True
