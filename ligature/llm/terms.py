@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ligature.workspace import spread
+
 TERM = r"[\p{L}\p{M}\p{N}]+"
 SCHEMA = "field string, terms array<string>, occurrences long, records long"
 
@@ -89,7 +91,7 @@ def ngram_frequencies(df: DataFrame, key: str, fields: list[str], max_len: int =
     heads = heads.select("field", "head", F.ceil(F.col("m") / hot).alias("split"))
     routed = suffixes.join(heads, ["field", "head"], "left")
     bucket = F.coalesce(F.pmod(F.col("record"), F.col("split")), F.lit(0)).alias("bucket")
-    ordered = routed.select("field", "suffix", "record", "head", bucket).repartition("field", "head", "bucket").sortWithinPartitions("field", "bucket", F.col("suffix").desc())
+    ordered = routed.select("field", "suffix", "record", "head", bucket).repartition(spread(df.sparkSession), "field", "head", "bucket").sortWithinPartitions("field", "bucket", F.col("suffix").desc())
     counted = ordered.select("field", "suffix", "record").mapInArrow(_stack(max_len), SCHEMA)
     return counted.groupBy("field", "terms").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
