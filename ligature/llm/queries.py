@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligature.llm import encoding, leaks, lookalike, quality, terms, topn, variants
+from ligature.llm import encoding, gazetteer, leaks, lookalike, quality, terms, topn, variants
 from ligature.workspace import ship
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = gazetteer.same_place(_table(spark, sf_dir, "train_source1"), "entity_id", "business_address", "country")
+    return pairs.select(F.col("key_a").alias("entity_id_a"), F.col("key_b").alias("entity_id_b"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = terms.marked_terms(_table(spark, sf_dir, "train_source1"), "entity_id", ["business_name", "business_address"])
     return found.where("mark is not null").select("field", "term", "mark")
@@ -47,6 +52,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
