@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from ligature.functions.indic import has_indic, romanise
 from ligature.llm.names import _deletions, damerau, fold
 
 # Words of addresses and what they stand for.
@@ -73,12 +74,18 @@ def one_of(word: str, group: frozenset) -> str | None:
 
 
 _TOKEN = re.compile(r"\d+|[^\W\d_]+(?:-[^\W\d_]+)*|[,;#]|\s-\s|\n")
+_INDIC = re.compile("[\u0900-\u0d7f\u200c\u200d]+")
+_PLACEHOLDER = re.compile(r"\b(?:null|none|n/a|nan|unknown)\b")
 _NUMBER_WORDS = frozenset("no num number plot door house hno".split())
 
 
 def tokens(address: str) -> list[str]:
     """Lower-case words, numbers and separators; dotted short forms are joined."""
-    text = fold(address).lower().replace("'", " ").replace("’", " ")
+    if has_indic(address):  # mostly the state; only where nothing else is written, it tells the place
+        latin = _INDIC.sub(" ", address)
+        address = latin if re.search("[A-Za-z]", latin) else romanise(address)
+    text = _PLACEHOLDER.sub(" ", fold(address).lower())
+    text = text.replace("'", " ").replace("’", " ")
     text = re.sub(r"\bh\.? ?no\b\.?", "hno ", text)
     return ["," if t.strip() in (",", ";", "-", "") else t.strip() for t in _TOKEN.findall(text)]
 

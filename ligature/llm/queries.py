@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligature.llm import encoding, gazetteer, leaks, lookalike, quality, terms, topn, variants
+from ligature.llm import encoding, gazetteer, leaks, lookalike, matching, quality, terms, topn, variants
 from ligature.workspace import ship
 
 
@@ -25,6 +25,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("mark is not null").select("field", "term", "mark")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _table(spark, sf_dir, "train_matches")
+    owned = known.select(F.explode(F.split("matched_entity_ids", ",")).alias("entity_id")).where("entity_id <> ''").distinct()
+    pool = _table(spark, sf_dir, "train_source2").unionByName(_table(spark, sf_dir, "train_source3")).join(owned, "entity_id", "left_anti")
+    found = matching.match(_table(spark, sf_dir, "train_source1"), pool, "entity_id", "business_name", "business_address", "country")
+    listed = known.select(F.col("source1_entity_id").alias("reference")).distinct()
+    return found.join(listed, "reference", "left_anti").select(F.col("reference").alias("source1_entity_id"), F.col("pool").alias("matched_entity_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = variants.name_pairs(_table(spark, sf_dir, "train_source1"), "entity_id", "business_name", "country")
     return pairs.select(F.col("key_a").alias("entity_id_a"), F.col("key_b").alias("entity_id_b"))
@@ -54,6 +63,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
