@@ -65,3 +65,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("ligature", os.path.relpath(full, root)))
     sc.addPyFile(path)
     sc._ligature_shipped = True
+
+
+def scatter(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows spread by a hash of the columns over all cores, for steps whose work isn't told by their bytes.
+
+    The hash is an expression of its own, so that neither an earlier shuffle on the same columns nor the
+    joining of small partitions takes the place of this one.
+    """
+    from pyspark.sql import functions as F
+
+    return df.repartition(spread(df.sparkSession), F.xxhash64(*columns))
