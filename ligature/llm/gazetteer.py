@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ligature.llm.names import damerau
 from ligature.llm.places import readings
-from ligature.workspace import materialize, spread
+from ligature.workspace import materialize, scatter
 
 PLACE = ["country", "town", "street", "direction", "number", "type"]
 
@@ -37,7 +37,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_addresses(addresses: DataFrame) -> DataFrame:
     """Readings of distinct (country, address) rows."""
     schema = "country string, address string, reading int, number string, direction string, street string, type string, town string"
-    return addresses.repartition(spread(addresses.sparkSession), "country", "address").mapInPandas(_read, schema)
+    return scatter(addresses, "country", "address").mapInPandas(_read, schema)
 
 
 def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str, established: int, least: int = 5) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligature.workspace import spread
+from ligature.workspace import scatter
 
 # Letters of other scripts that have the shape of a Latin letter.
 HOMOGLYPHS = {
@@ -188,7 +188,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.groupBy("id").agg(F.min("t").alias("t"))
     counts = alphabet(rows, "t")
     # only texts whose form is shared by another spelling can make pairs
-    forms = fold_lookalikes(rows.select("t").distinct().repartition(spread(df.sparkSession), "t"), "t", "form", counts)
+    forms = fold_lookalikes(scatter(rows.select("t").distinct(), "t"), "t", "form", counts)
     shared = forms.groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form")
     forms = forms.join(shared, "form")
     members = rows.join(forms, "t")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ligature.functions.indic import has_indic, romanise
 from ligature.llm.gazetteer import resolve
 from ligature.llm.names import LEGAL, LINES, damerau, read_name
-from ligature.workspace import materialize, spread
+from ligature.workspace import materialize, scatter, spread
 
 #: Weights of the field similarities, see ``similarities``; the first is the constant.
 WEIGHTS = (-9.0, 11.0, 1.0, 0.5, -5.0, -4.0, 2.5, -1.0, -6.0, 0.0)
@@ -128,7 +128,7 @@ def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address:
     both = materialize(sides[0].unionByName(sides[1]), "sides")
     places = resolve(both.where("address is not null").select("country", "address").distinct())
     located = both.join(places, ["country", "address"], "left").drop("address")
-    return materialize(located.repartition(spread(both.sparkSession), "id").mapInPandas(_read, RECORD), "records")
+    return materialize(scatter(located, "id").mapInPandas(_read, RECORD), "records")
 
 
 def sort_keys(r: DataFrame) -> DataFrame:

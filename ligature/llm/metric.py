@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ligature.llm.names import damerau
-from ligature.workspace import spread
+from ligature.workspace import scatter
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def radius_pairs(words: DataFrame, scope: str, word: str, radius: int = 1, most_
             yield pd.DataFrame({"scope": pdf.scope.values[at], "word": pdf.word.values[at], "cell": cell, "away": d[at, cell].astype(int), "size": [len(texts[i]) for i in at], "home": cell == home[at]})
 
     # a number is given, as few bytes may mean much work here
-    placed = rows.repartition(spread(words.sparkSession), "scope", "word").mapInPandas(assign, "scope string, word string, cell int, away int, size int, home boolean")
+    placed = scatter(rows, "scope", "word").mapInPandas(assign, "scope string, word string, cell int, away int, size int, home boolean")
     steps = F.array(*[F.lit(i) for i in range(-radius, radius + 1)])
     a = placed.where("home").select("scope", "cell", F.col("word").alias("a"), F.col("size").alias("size_a"), F.explode(F.transform(steps, lambda s: F.col("away") + s)).alias("away"))
     a = a.select("scope", "cell", "a", "away", F.explode(F.transform(steps, lambda s: F.col("size_a") + s)).alias("size"))

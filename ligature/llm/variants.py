@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ligature.llm.metric import radius_pairs
 from ligature.llm.names import read_name
-from ligature.workspace import materialize, spread
+from ligature.workspace import materialize, scatter
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,7 +30,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_names(names: DataFrame) -> DataFrame:
     """(country, name) with its sorted distinct proper words, first name and line of business."""
-    return names.repartition(spread(names.sparkSession), "country", "name").mapInPandas(_read, "country string, name string, words array<string>, first string, line string")
+    return scatter(names, "country", "name").mapInPandas(_read, "country string, name string, words array<string>, first string, line string")
 
 
 def spellings(parsed: DataFrame, established: int = 3) -> DataFrame:
