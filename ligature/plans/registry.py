@@ -618,7 +618,11 @@ def eval_error_kinds(s, d):
 def eval_error_cost(s, d):
     e = _scores(s, d)
     wrong = F.col("n_pred") - F.col("n_correct")
-    variants = F.array(F.struct(F.lit("as_is").alias("variant"), F.col("n_pred").alias("p"), F.col("n_correct").alias("c")), F.struct(F.lit("no_false_merges"), F.col("n_correct"), F.col("n_correct")), F.struct(F.lit("no_misses"), F.col("n_true") + wrong, F.col("n_true")))
+    def variant(name, p, c):
+        return F.struct(F.lit(name).alias("variant"), p.alias("p"), c.alias("c"))
+
+    n, ok = F.col("n_true"), F.col("n_correct")
+    variants = F.array(variant("as_is", F.col("n_pred"), ok), variant("no_false_merges", ok, ok), variant("no_misses", n + wrong, n))
     v = e.select("n_true", F.explode(variants).alias("v"))
     return v.groupBy("v.variant").agg(F.round(F.avg(evaluation.f05(F.col("n_true"), F.col("v.p"), F.col("v.c"))), 6).alias("macro_f05"))
 
