@@ -48,16 +48,19 @@ def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str, est
     """
     rows = words.select(*scope, F.col(word).alias("word"), F.col(uses).alias("uses")).where(F.length("word") >= least)
     cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr(F.col("word"), F.lit(1), i - 1), F.substr(F.col("word"), i + 1)))
-    keyed = rows.select(*scope, "word", "uses", F.explode(F.array_distinct(F.concat(F.array("word"), cut))).alias("key"))
-    a, b = keyed.select(*scope, "key", "word", F.col("uses").alias("n")), keyed.select(*scope, "key", F.col("word").alias("meant"), F.col("uses").alias("m"))
-    pairs = a.where(F.col("n") < established).join(b, [*scope, "key"]).where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("meant") < F.col("word"))))
-    pairs = pairs.select(*scope, "word", "meant").distinct()
+    # only hashes are exploded and joined; the words themselves come back for the pairs that are left
+    named = rows.withColumn("at", F.xxhash64(*scope, "word"))
+    keyed = named.select("at", "uses", F.explode(F.array_distinct(F.transform(F.concat(F.array("word"), cut), lambda x: F.xxhash64(*scope, x)))).alias("key"))
+    a, b = keyed.select("key", "at", F.col("uses").alias("n")), keyed.select("key", F.col("at").alias("to"), F.col("uses").alias("m"))
+    pairs = a.where(F.col("n") < established).join(b, "key").where((F.col("m") >= F.col("n")) & (F.col("at") != F.col("to"))).select("at", "to").distinct()
+    meant = named.select(F.col("at").alias("to"), F.col("word").alias("meant"), F.col("uses").alias("m"))
+    pairs = pairs.join(named.select("at", *scope, "word", "uses"), "at").join(meant, "to").where((F.col("m") > F.col("uses")) | (F.col("meant") < F.col("word")))
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([damerau(i, j, 1) <= 1 for i, j in zip(x, y, strict=True)], dtype=bool)
 
-    return pairs.where(close("word", "meant"))
+    return pairs.where(close("word", "meant")).select(*scope, "word", "meant")
 
 
 def resolve(addresses: DataFrame, beam: int = 4, established: int = 4) -> DataFrame:
@@ -97,6 +100,8 @@ def resolve(addresses: DataFrame, beam: int = 4, established: int = 4) -> DataFr
 def _settle(places: DataFrame, scope: list[str], name: str) -> DataFrame:
     """Replaces a spelling by the most used one of its scope that is one edit away and more used."""
     used = places.groupBy(*scope, name).agg(F.count("*").alias("uses"))
+    several = used.groupBy(*scope).agg(F.count("*").alias("spellings")).where("spellings > 1").select(*scope)
+    used = materialize(used.join(several, scope, "left_semi"), "spellings-of-places")
     near = near_spellings(used, scope, name, "uses", 1 << 30, least=4)
     near = near.join(used.withColumnRenamed(name, "meant"), [*scope, "meant"]).groupBy(*scope, F.col("word").alias(name)).agg(F.min(F.struct((-F.col("uses")).alias("n"), "meant"))["meant"].alias("meant"))
     return places.join(near, [*scope, name], "left").withColumn(name, F.coalesce("meant", name)).drop("meant").select(*places.columns)

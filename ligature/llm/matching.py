@@ -15,6 +15,7 @@ The weights are parameters. The defaults were set by hand and held against the k
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -107,14 +108,22 @@ def similarities() -> dict[str, Column]:
     return {"name": F.when((c("a_run") == "") | (c("b_run") == ""), 0.0).otherwise(name), **{k: v.cast("double") for k, v in flags.items()}}
 
 
-FIELDS = ["id", "country", "source", "words", "first", "line", "town", "street", "direction", "number", "type"]
-RECORD = "id string, country string, source int, words array<string>, first string, line string, town string, street string, direction string, number string, type string"
+def signature(words: list[str]) -> int:
+    """64 bits that the letter pairs of the words, run together, set."""
+    text, bits = "".join(sorted(words)), 0
+    for i in range(len(text) - 1):
+        bits |= 1 << (zlib.crc32(text[i : i + 2].encode()) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+FIELDS = ["id", "country", "source", "words", "first", "line", "town", "street", "direction", "number", "type", "bits"]
+RECORD = "id string, country string, source int, words array<string>, first string, line string, town string, street string, direction string, number string, type string, bits long"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         parts = [read_any(n or "") for n in pdf.name]
-        out = pdf.assign(words=[p[0] for p in parts], first=[p[1] for p in parts], line=[p[2] for p in parts])
+        out = pdf.assign(words=[p[0] for p in parts], first=[p[1] for p in parts], line=[p[2] for p in parts], bits=[signature(p[0]) for p in parts])
         yield out[FIELDS].fillna({c: "" for c in ("town", "street", "direction", "number", "type")})
 
 
@@ -128,11 +137,13 @@ def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address:
     both = materialize(sides[0].unionByName(sides[1]), "sides")
     places = resolve(both.where("address is not null").select("country", "address").distinct())
     located = both.join(places, ["country", "address"], "left").drop("address")
-    return materialize(scatter(located, "id").mapInPandas(_read, RECORD), "records")
+    read = scatter(located, "id").mapInPandas(_read, RECORD)
+    # numbers stand for the keys while pairs are made; they are fixed by being written
+    return materialize(read.withColumn("row", F.monotonically_increasing_id()), "records")
 
 
 def sort_keys(r: DataFrame) -> DataFrame:
-    """Rows (key, source, id) for all passes; a pass whose fields are empty has no row of the record."""
+    """Rows (key, source, row, bits, door) for all passes; a pass whose fields are empty has no row of the record."""
     words = F.array_join(F.array_sort("words"), " ")
     run, back = F.array_join("words", ""), F.array_join(F.reverse("words"), "")
     place = F.concat_ws("|", "town", "street", "number", "direction")
@@ -147,67 +158,77 @@ def sort_keys(r: DataFrame) -> DataFrame:
         (some, F.concat(F.lit("5|"), "country", F.lit("|"), bones, F.lit("|"), place)),
     ]
     made = F.filter(F.array(*[F.when(c, k) for c, k in keys]), lambda x: x.isNotNull())
-    return r.select(F.explode(made).alias("key"), "source", "id")
+    door = F.when(placed, F.xxhash64("country", "town", "street", "number"))
+    return r.select(F.explode(made).alias("key"), "source", "row", "bits", door.alias("door"))
+
+
+def _near(bits_a: np.ndarray, bits_b: np.ndarray, door_a: np.ndarray, door_b: np.ndarray) -> np.ndarray:
+    """Whether two records may match: at one door, or with two thirds of the letter pairs of the shorter name in common."""
+    common = np.bitwise_count(bits_a & bits_b).astype(np.int32)
+    least = np.minimum(np.bitwise_count(bits_a), np.bitwise_count(bits_b)).astype(np.int32)
+    return ((door_a == door_b) & (door_a != 0)) | ((least > 0) & (3 * common >= 2 * least))
 
 
 def _slide(window: int):
+    names = ("kind", "reference", "pool", "source", "bits", "door", "part", "at")
+
+    def batch(kind: int, *columns) -> pa.RecordBatch:
+        n = len(columns[0])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.record_batch([pa.array(np.broadcast_to(c, n) if np.ndim(c) == 0 else c, t) for c, t in zip((kind, *columns), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        head: list[tuple] = []
-        held_source, held_id = np.empty(0, np.int32), np.empty(0, object)
+        held = [np.empty(0, np.int64) for _ in range(4)]  # source, row, bits, door
+        head: list[list[np.ndarray]] = []
         seen = 0
-        kinds = ("kind", "reference", "pool", "source", "part", "at")
-
-        def batch(kind, ref, pool, source, parts, at):
-            return pa.record_batch([pa.array([kind] * len(ref), pa.string()), pa.array(ref, pa.string()), pa.array(pool, pa.string()), pa.array(source, pa.int32()), pa.array(parts, pa.int32()), pa.array(at, pa.int32())], kinds)
-
         for b in batches:
-            source, ids = b.column(1).to_numpy(zero_copy_only=False).astype(np.int32), b.column(2).to_numpy(zero_copy_only=False)
+            new = [b.column(i + 1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
             if seen < window:
-                head += list(zip(source[: window - seen].tolist(), ids[: window - seen].tolist(), strict=True))
-            seen += len(ids)
-            old = len(held_id)
-            source, ids = np.concatenate([held_source, source]), np.concatenate([held_id, ids])
-            refs, pools = [], []
-            for step in range(1, window + 1):
-                if step >= len(ids):
-                    break
+                head.append([c[: window - seen] for c in new])
+            seen += len(new[0])
+            old = len(held[0])
+            source, row, bits, door = rows = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            for step in range(1, min(window, len(source) - 1) + 1):
                 differ = source[:-step] != source[step:]
                 differ[: max(0, old - step)] = False  # both held over from before: compared already
                 at = np.flatnonzero(differ)
+                at = at[_near(bits[at], bits[at + step], door[at], door[at + step])]
                 first = source[at] == 0
-                refs.append(np.where(first, ids[at], ids[at + step]))
-                pools.append(np.where(first, ids[at + step], ids[at]))
-            if refs:
-                r, p = np.concatenate(refs), np.concatenate(pools)
-                n = len(r)
-                yield batch("pair", r, p, [0] * n, [part] * n, [0] * n)
-            held_source, held_id = source[-window:], ids[-window:]
+                if len(at):
+                    yield batch(0, np.where(first, row[at], row[at + step]), np.where(first, row[at + step], row[at]), 0, 0, 0, part, 0)
+            held = [c[-window:] for c in rows]
         if seen:
             # rows at the seams: the first ones of this partition, and the last ones with their distance to its end
-            ids = [h[1] for h in head]
-            yield batch("head", ids, ids, [h[0] for h in head], [part] * len(ids), list(range(1, len(ids) + 1)))
-            n = len(held_id)
-            yield batch("tail", held_id, held_id, held_source, [part + 1] * n, list(range(n - 1, -1, -1)))
+            source, row, bits, door = (np.concatenate(x) for x in zip(*head, strict=True))
+            yield batch(1, row, row, source, bits, door, part, np.arange(1, len(row) + 1))
+            source, row, bits, door = held
+            yield batch(2, row, row, source, bits, door, part + 1, np.arange(len(row) - 1, -1, -1))
 
     return run
 
 
 def neighbours(rows: DataFrame, window: int) -> DataFrame:
-    """Distinct (reference, pool) ids that lie at most ``window`` places apart in the order of the keys."""
+    """Distinct (reference, pool) rows that lie at most ``window`` places apart in the order of the keys and may match."""
     spark = rows.sparkSession
     total = rows.count()
     # partitions much larger than a window, so that a window meets one seam at most
     parts = int(max(1, min(spread(spark), total // (50 * window))))
-    ordered = rows.select("key", "source", "id").repartitionByRange(parts, "key", "source", "id").sortWithinPartitions("key", "source", "id")
-    made = materialize(ordered.mapInArrow(_slide(window), "kind string, reference string, pool string, source int, part int, at int"), "windows")
-    t = made.where("kind = 'tail'").select("part", F.col("reference").alias("x"), F.col("source").alias("sx"), F.col("at").alias("ax"))
-    h = made.where("kind = 'head'").select("part", F.col("reference").alias("y"), F.col("source").alias("sy"), F.col("at").alias("ay"))
-    seams = t.join(h, "part").where((F.col("ax") + F.col("ay") <= window) & (F.col("sx") != F.col("sy")))
-    seams = seams.select(F.when(F.col("sx") == 0, F.col("x")).otherwise(F.col("y")).alias("reference"), F.when(F.col("sx") == 0, F.col("y")).otherwise(F.col("x")).alias("pool"))
-    return made.where("kind = 'pair'").select("reference", "pool").unionByName(seams).distinct()
+    ordered = rows.select("key", "source", "row", "bits", "door").repartitionByRange(parts, "key", "source", "row").sortWithinPartitions("key", "source", "row")
+    made = materialize(ordered.mapInArrow(_slide(window), "kind int, reference long, pool long, source int, bits long, door long, part int, at int"), "windows")
+
+    def seam(kind: int, tag: str) -> DataFrame:
+        return made.where(F.col("kind") == kind).select("part", *[F.col(c).alias(f"{c}_{tag}") for c in ("pool", "source", "bits", "door", "at")])
+
+    c = F.col
+    both = seam(2, "x").join(seam(1, "y"), "part").where((c("at_x") + c("at_y") <= window) & (c("source_x") != c("source_y")))
+    common = 3 * F.bit_count(c("bits_x").bitwiseAND(c("bits_y"))) >= 2 * F.least(F.bit_count("bits_x"), F.bit_count("bits_y"))
+    both = both.where(((c("door_x") == c("door_y")) & (c("door_x") != 0)) | (common & (c("bits_x") != 0) & (c("bits_y") != 0)))
+    first = c("source_x") == 0
+    both = both.select(F.when(first, c("pool_x")).otherwise(c("pool_y")).alias("reference"), F.when(first, c("pool_y")).otherwise(c("pool_x")).alias("pool"))
+    return made.where("kind = 0").select("reference", "pool").unionByName(both).distinct()
 
 
 def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -215,12 +236,12 @@ def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, add
     r = records(reference, pool, key, name, address, country)
     pairs = neighbours(sort_keys(r), window)
     words = F.col("words")
-    sides = r.select("source", "id", "country", "line", "first", "number", "town", "street", "direction", "type", F.array_join(F.array_sort(words), "").alias("sorted"), F.array_join(words, "").alias("run"), F.array_join(F.reverse(words), "").alias("back"))
-    cols = [c for c in sides.columns if c not in ("source", "id")]
-    a = sides.where("source = 0").select(F.col("id").alias("reference"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = sides.where("source = 1").select(F.col("id").alias("pool"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    sides = r.select("source", "row", "id", "country", "line", "first", "number", "town", "street", "direction", "type", F.array_join(F.array_sort(words), "").alias("sorted"), F.array_join(words, "").alias("run"), F.array_join(F.reverse(words), "").alias("back"))
+    cols = [c for c in sides.columns if c not in ("source", "row")]
+    a = sides.where("source = 0").select(F.col("row").alias("reference"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = sides.where("source = 1").select(F.col("row").alias("pool"), *[F.col(c).alias(f"b_{c}") for c in cols])
     wide = pairs.join(a, "reference").join(b, "pool").where("a_country = b_country")
-    wide = wide.select("reference", "pool", *[v.alias(k) for k, v in similarities().items()])
+    wide = wide.select(F.col("a_id").alias("reference"), F.col("b_id").alias("pool"), *[v.alias(k) for k, v in similarities().items()])
     total = sum((F.col(n) * w for n, w in zip(NAMES, weights[1:], strict=True)), F.lit(weights[0]))
     return wide.withColumn("confidence", 1 / (1 + F.exp(-total)))
 
