@@ -287,7 +287,7 @@ REV_FEATURES = f"""{REV}, {Q.scores(MAX_DF)}, {Q.ranked(TOP_K)}, tops as (select
     from cand c left join rev r on r.record_id = c.cand_id and r.s1_id = c.s1_id left join tops t on t.record_id = c.cand_id)"""
 
 
-@query(f"with {REV_FEATURES} select s1_id, cand_id, r_rank, round(r_score, 6) as r_score, round(r_best_other, 6) as r_best_other, round(r_score - r_best_other, 6) as r_gap from rf")
+@query(f"with {REV_FEATURES} select s1_id, cand_id, r_rank, round(r_score, 6) as r_score, round(r_best_other, 6) as r_best_other, round(round(r_score - r_best_other, 9), 6) as r_gap from rf")
 def rev_features(s, d):
     f = reverse.reverse_features(_candidates(s, d).select("s1_id", "cand_id"), _reverse(s, d))
     return f.select("s1_id", "cand_id", F.col("r_rank").cast("int").alias("r_rank"), *[F.round(x, 6).alias(x) for x in ("r_score", "r_best_other", "r_gap")])
