@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ligature.llm.names import damerau
 from ligature.llm.places import readings
-from ligature.workspace import materialize, scatter
+from ligature.workspace import discard, materialize, scatter
 
 PLACE = ["country", "town", "street", "direction", "number", "type"]
 
@@ -92,8 +92,11 @@ def resolve(addresses: DataFrame, beam: int = 4, established: int = 4) -> DataFr
     one = last.withColumn("place", F.row_number().over(order)).where("place = 1")
     one = one.select("country", "address", "town", F.col("meant").alias("street"), "direction", "number", "type")
     # a number on the same street, or in the same town, is evidence enough to take one edit as a typo
+    one = materialize(one, "places")
+    discard(read, step)
     for name, rest in (("town", "street"), ("street", "town"), ("town", "street")):
-        one = _settle(materialize(one, "places"), ["country", "direction", "number", rest], name)
+        before, one = one, _settle(one, ["country", "direction", "number", rest], name)
+        discard(before)
     return one
 
 
@@ -104,7 +107,9 @@ def _settle(places: DataFrame, scope: list[str], name: str) -> DataFrame:
     used = materialize(used.join(several, scope, "left_semi"), "spellings-of-places")
     near = near_spellings(used, scope, name, "uses", 1 << 30, least=4)
     near = near.join(used.withColumnRenamed(name, "meant"), [*scope, "meant"]).groupBy(*scope, F.col("word").alias(name)).agg(F.min(F.struct((-F.col("uses")).alias("n"), "meant"))["meant"].alias("meant"))
-    return places.join(near, [*scope, name], "left").withColumn(name, F.coalesce("meant", name)).drop("meant").select(*places.columns)
+    out = materialize(places.join(near, [*scope, name], "left").withColumn(name, F.coalesce("meant", name)).drop("meant").select(*places.columns), "places")
+    discard(used)
+    return out
 
 
 def same_place(df: DataFrame, key: str, address: str, country: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ligature.functions.indic import has_indic, romanise
 from ligature.llm.gazetteer import resolve
 from ligature.llm.names import LEGAL, LINES, damerau, read_name
-from ligature.workspace import materialize, scatter, spread
+from ligature.workspace import discard, materialize, scatter, spread
 
 #: Weights of the field similarities, see ``similarities``; the first is the constant.
 WEIGHTS = (-9.0, 11.0, 1.0, 0.5, -5.0, -4.0, 2.5, -1.0, -6.0, 0.0)
@@ -139,7 +139,9 @@ def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address:
     located = both.join(places, ["country", "address"], "left").drop("address")
     read = scatter(located, "id").mapInPandas(_read, RECORD)
     # numbers stand for the keys while pairs are made; they are fixed by being written
-    return materialize(read.withColumn("row", F.monotonically_increasing_id()), "records")
+    out = materialize(read.withColumn("row", F.monotonically_increasing_id()), "records")
+    discard(both, places)
+    return out
 
 
 def sort_keys(r: DataFrame) -> DataFrame:
@@ -228,7 +230,9 @@ def neighbours(rows: DataFrame, window: int) -> DataFrame:
     both = both.where(((c("door_x") == c("door_y")) & (c("door_x") != 0)) | (common & (c("bits_x") != 0) & (c("bits_y") != 0)))
     first = c("source_x") == 0
     both = both.select(F.when(first, c("pool_x")).otherwise(c("pool_y")).alias("reference"), F.when(first, c("pool_y")).otherwise(c("pool_x")).alias("pool"))
-    return made.where("kind = 0").select("reference", "pool").unionByName(both).distinct()
+    out = materialize(made.where("kind = 0").select("reference", "pool").unionByName(both).distinct(), "pairs")
+    discard(made)
+    return out
 
 
 def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -240,7 +244,10 @@ def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, add
     cols = [c for c in sides.columns if c not in ("source", "row")]
     a = sides.where("source = 0").select(F.col("row").alias("reference"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = sides.where("source = 1").select(F.col("row").alias("pool"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    wide = pairs.join(a, "reference").join(b, "pool").where("a_country = b_country")
+    # what the first join shuffles is gone before the second one begins
+    half = materialize(pairs.join(a, "reference"), "half-pairs")
+    discard(pairs)
+    wide = half.join(b, "pool").where("a_country = b_country")
     wide = wide.select(F.col("a_id").alias("reference"), F.col("b_id").alias("pool"), *[v.alias(k) for k, v in similarities().items()])
     total = sum((F.col(n) * w for n, w in zip(NAMES, weights[1:], strict=True)), F.lit(weights[0]))
     return wide.withColumn("confidence", 1 / (1 + F.exp(-total)))
