@@ -122,6 +122,11 @@ def rewrite_table(counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+def rewrites_ascii(table: dict[str, str]) -> bool:
+    """Whether printable ASCII is rewritten, which is so where another spelling is the more frequent one."""
+    return any(k.isascii() and k.isprintable() for k in table)
+
+
 class Rewriter:
     """Greedy leftmost-longest rewriting by an Aho-Corasick automaton, repeated to a fixed point."""
 
@@ -129,8 +134,7 @@ class Rewriter:
         import ahocorasick
 
         self.table, self.rounds = table, rounds
-        self.one = str.maketrans({k: v for k, v in table.items() if len(k) == 1})
-        self.heads = frozenset(k[-1] for k in table if len(k) > 1)
+        self.plain = rewrites_ascii(table)
         self.automaton = ahocorasick.Automaton()
         for k, v in table.items():
             self.automaton.add_word(k, (k, v))
@@ -146,7 +150,7 @@ class Rewriter:
         return "".join(out) + text[at:] if out else text
 
     def __call__(self, text: str) -> str:
-        if not self.table or text.isascii() and "\t" not in text and "\n" not in text and "\r" not in text:
+        if not self.table or not self.plain and text.isascii() and text.isprintable():
             return text
         for _ in range(self.rounds):
             new = self._once(text)
@@ -173,8 +177,8 @@ def fold_lookalikes(df: DataFrame, column: str, out: str, counts: dict[str, int]
         rewrite = fold_lookalikes.made[1]
         return texts.map(rewrite, na_action="ignore")
 
-    # plain ASCII without control characters has nothing to rewrite and stays in the JVM
-    plain = F.col(column).rlike(r"^[ -~]*$")
+    # printable ASCII mostly has nothing to rewrite and stays in the JVM
+    plain = F.col(column).rlike(r"^[ -~]*$") & F.lit(not rewrites_ascii(table))
     return df.withColumn(out, F.when(F.col(column).isNull() | plain, F.col(column)).otherwise(fold(F.when(~plain, F.col(column)))))
 
 
