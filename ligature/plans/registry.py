@@ -824,3 +824,65 @@ def er_baseline(s, d):
 
 
 
+
+
+# ------------------------------------------------------------------ more profiles
+
+
+@query(f"""with {OWNED}, t as (select least(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')), 8)::int as n_matches from m),
+    p as (select least(coalesce(k, 0), 8)::int as n_matches from s1 left join (select s1_id, count(*) as k from owned group by s1_id) on s1_id = entity_id),
+    a as (select n_matches, round(count(*) / sum(count(*)) over (), 6) as known_share from t group by 1), b as (select n_matches, round(count(*) / sum(count(*)) over (), 6) as found_share from p group by 1)
+    select n_matches, coalesce(known_share, 0) as known_share, coalesce(found_share, 0) as found_share from a full join b using (n_matches)""")
+def eda_match_distribution(s, d):
+    """Shares of entities by number of matches, known and found, side by side."""
+    known = tables.known_matches(s, d).select(F.least(F.size(tables.id_list("matched_entity_ids")), F.lit(8)).alias("n_matches"))
+    found = sinks.assemble(_s1(s, d), decision.to_lists(_owned(s, d))).select(F.least(F.size(tables.id_list("matched_entity_ids")), F.lit(8)).alias("n_matches"))
+
+    def shares(df, name):
+        n = df.groupBy("n_matches").agg(F.count("*").alias("n"))  # nine rows at most
+        return n.withColumn(name, F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6)).drop("n")
+
+    return shares(known, "known_share").join(shares(found, "found_share"), "n_matches", "full").na.fill(0.0)
+
+
+@query(f"""with {Q.RECORDS}, h as (select entity_id, country, ('0x' || substr(md5('42' || entity_id), 1, 8))::bigint < 858993459 as validation from s1), t as (select s1_id, count(*) as k from truth group by s1_id)
+    select case when validation then 'validation' else 'train' end as split, country, count(*) as entities, count(m.source1_entity_id) as listed, round(avg(case when m.source1_entity_id is not null then coalesce(k, 0) end), 6) as mean_matches
+    from h left join m on m.source1_entity_id = entity_id left join t on t.s1_id = entity_id group by 1, 2""")
+def eda_split(s, d):
+    """Whether both parts of the split look alike."""
+    e = evaluation.split_entities(_s1(s, d), "entity_id", 0.2, 0).join(_s1(s, d).select("entity_id", "country"), "entity_id")
+    k = tables.known_matches(s, d).select(F.col("source1_entity_id").alias("entity_id"), F.size(tables.id_list("matched_entity_ids")).alias("k"))
+    return e.join(k, "entity_id", "left").groupBy("split", "country").agg(F.count("*").alias("entities"), F.count("k").alias("listed"), F.round(F.avg("k"), 6).alias("mean_matches"))
+
+
+@query(f"""with {Q.RECORDS}, p as (select country, trim(string_split(business_address, ',')[-1]) as part from s1), c as (select country, part, count(*) as n from p group by 1, 2)
+    select * from (select *, row_number() over (partition by country order by n desc, part) as place from c) where place <= 20""")
+def eda_last_parts(s, d):
+    """The most frequent last parts of addresses per country."""
+    c = _s1(s, d).groupBy("country", F.trim(F.element_at(F.split("business_address", ","), -1)).alias("part")).agg(F.count("*").alias("n"))
+    return c.withColumn("place", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "part"))).where("place <= 20")
+
+
+_FORMS = ("ltd", "limited", "inc", "incorporated", "corp", "corporation", "pvt", "private")
+
+
+@query(f"""with {TRUE_PAIRS}, f as (select list_filter(ns, lambda w: w in {_FORMS})[-1] as a, list_filter(nc, lambda w: w in {_FORMS})[-1] as b from te)
+    select coalesce(a, '') as reference_form, coalesce(b, '') as pool_form, count(*) as n from f group by 1, 2""")
+def eda_legal_variants(s, d):
+    """How the last legal form of a name is written on both sides of known pairs."""
+    p = features.with_texts(_truth(s, d), _norm(_s1(s, d)), _norm(_pool(s, d)))
+    last = lambda c: F.coalesce(F.try_element_at(F.filter(T.tokens(F.col(c)), lambda w: w.isin(*_FORMS)), F.lit(-1)), F.lit(""))
+    return p.groupBy(last("name_s").alias("reference_form"), last("name_c").alias("pool_form")).agg(F.count("*").alias("n"))
+
+
+_SHARE_GRID = [0.5, 0.7, 0.9]
+
+
+@query(f"""with {SCORED}, g as (select unnest({_SHARE_GRID}) as share), b as (select *, max(probability) over (partition by s1_id) as best from scored where s1_id in (select source1_entity_id from m))
+    select share::double as share, count(*) as n_pred, sum((t.cand_id is not null)::int)::bigint as n_correct from b join g on probability >= 0.5 and probability >= share * best left join truth t using (s1_id, cand_id) group by share""")
+def dec_relative_grid(s, d):
+    """Pairs kept and right for several shares of the entity's best probability."""
+    listed = tables.known_matches(s, d).select(F.col("source1_entity_id").alias("s1_id"))
+    b = _labelled(_scored(s, d), s, d).join(listed, "s1_id", "left_semi").withColumn("best", F.max("probability").over(Window.partitionBy("s1_id")))
+    g = b.select("*", F.explode(F.array(*[F.lit(x) for x in _SHARE_GRID])).alias("share")).where((F.col("probability") >= 0.5) & (F.col("probability") >= F.col("share") * F.col("best")))
+    return g.groupBy("share").agg(F.count("*").alias("n_pred"), F.sum("label").alias("n_correct"))
