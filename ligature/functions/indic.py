@@ -25,7 +25,7 @@ def _offset(ch: str) -> int:
 
 
 def has_indic(text: str) -> bool:
-    return any(FIRST <= ord(c) <= LAST for c in text)
+    return not text.isascii() and any(FIRST <= ord(c) <= LAST for c in text)
 
 
 def romanise(text: str) -> str:
