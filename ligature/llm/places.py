@@ -39,15 +39,18 @@ def _type_words(country: str) -> dict[str, str]:
 
 
 @lru_cache(8)
-def _state_phrases(country: str) -> list[tuple[list[str], bool]]:
-    """States as word sequences, the longest first; and whether it is a short form."""
-    out = []
+def _state_phrases(country: str) -> dict[str, list[tuple[int, list[str], bool]]]:
+    """States by their first word: (place in the order, words, whether it is a short form); the longest come first."""
+    every = []
     for entry in filter(None, STATES.get(country, "").split(",")):
         head, _, code = entry.rpartition(" ") if country != "France" else (entry, "", "")
-        out.append((head.split(), False))
+        every.append((head.split(), False))
         if code:
-            out.append(([code], True))
-    return sorted(out, key=lambda x: -len(x[0]))
+            every.append(([code], True))
+    out: dict[str, list[tuple[int, list[str], bool]]] = {}
+    for place, (phrase, short) in enumerate(sorted(every, key=lambda x: -len(x[0]))):
+        out.setdefault(phrase[0], []).append((place, phrase, short))
+    return out
 
 
 @lru_cache(64)
@@ -106,19 +109,21 @@ class _Words:
 
 
 def _states(w: _Words) -> None:
-    """Marks the state: a full name anywhere, a short form at the end of a part."""
-    for phrase, short in _state_phrases(w.country):
-        n = len(phrase)
-        for i in range(len(w.t) - n, -1, -1):
-            if any(w.used[i : i + n]) or w.t[i : i + n] != phrase:
-                continue
-            alone = (i == 0 or w.t[i - 1] == ",") and (i + n == len(w.t) or w.t[i + n] == ",")
-            if short and not (alone or i + n == len(w.t)) and not (i + n < len(w.t) and w.t[i + n].isdigit()):
-                continue
-            if not short and n == 1 and not alone and not (i + n == len(w.t)) and w.country == "France":
-                continue
-            w.take(*range(i, i + n))
-            break
+    """Marks the state: a full name anywhere, a short form at the end of a part; of each the last one."""
+    known, t = _state_phrases(w.country), w.t
+    at = sorted(((place, -i, phrase, short) for i, x in enumerate(t) for place, phrase, short in known.get(x, ()) if t[i : i + len(phrase)] == phrase), key=lambda c: c[:2])
+    done = -1
+    for place, back, phrase, short in at:
+        i, n = -back, len(phrase)
+        if place == done or any(w.used[i : i + n]):
+            continue
+        alone = (i == 0 or t[i - 1] == ",") and (i + n == len(t) or t[i + n] == ",")
+        if short and not (alone or i + n == len(t)) and not (i + n < len(t) and t[i + n].isdigit()):
+            continue
+        if not short and n == 1 and not alone and not (i + n == len(t)) and w.country == "France":
+            continue
+        w.take(*range(i, i + n))
+        done = place
 
 
 def _units(w: _Words) -> None:
