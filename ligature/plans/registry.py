@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -14,6 +15,9 @@ from ligature.sources import sinks, tables
 from ligature.workspace import ship
 
 MAX_DF, TOP_K = 50, 10
+#: The reference's chosen design of five-key blocking, and the grid it was chosen from.
+WIDE_DF, WIDE_K = 1000, 100
+WIDE_DFS, WIDE_KS = [100, 300, 1000], [25, 50, 100, 200]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -51,9 +55,9 @@ def _truth(s, d):
     return tables.explode_matches(tables.known_matches(s, d)).select(F.col("source1_entity_id").alias("s1_id"), F.col("match_id").alias("cand_id"))
 
 
-def _candidates(s, d, top_k=TOP_K, ranking="all"):
+def _candidates(s, d, top_k=TOP_K, ranking="all", max_df=MAX_DF):
     pool = _norm(_pool(s, d))
-    return blocking.candidates(keys.record_keys(_norm(_s1(s, d))), keys.record_keys(pool), pool.count(), MAX_DF, top_k, ranking)
+    return blocking.candidates(keys.record_keys(_norm(_s1(s, d))), keys.record_keys(pool), pool.count(), max_df, top_k, ranking)
 
 
 def _scored(s, d):
@@ -211,6 +215,12 @@ def block_candidates_all(s, d):
     return c.select("s1_id", "cand_id", *[F.round(x, 6).alias(x) for x in ("score_all", "score_name", "score_addr")], "block_rank")
 
 
+@query(f"with {Q.KEYED}, {Q.scores(WIDE_DF)}, {Q.ranked(WIDE_K)} select s1_id, cand_id, round(score_all, 6) as score_all, block_rank from cand")
+def block_candidates_wide(s, d):
+    """Candidates at the reference's chosen design; keys and ranking as in block_candidates_all."""
+    return _candidates(s, d, WIDE_K, max_df=WIDE_DF).select("s1_id", "cand_id", F.round("score_all", 6).alias("score_all"), "block_rank")
+
+
 @query(f"""with {Q.KEYED}, {Q.scores(MAX_DF)} select s1_id, cand_id, round(score_all, 6) as score_all from (select *, row_number() over (partition by s1_id order by score_name desc, cand_id) as a,
     row_number() over (partition by s1_id order by score_addr desc, cand_id) as b from scores) where a <= {TOP_K // 2} or b <= {TOP_K // 2}""")
 def block_candidates_split(s, d):
@@ -245,20 +255,30 @@ def block_reach(s, d):
     return blocking.key_reach(_truth(s, d), keys.record_keys(_norm(_s1(s, d))), keys.record_keys(_norm(_pool(s, d))))
 
 
-def _sweep_sql() -> str:
-    parts = ", ".join(f"{Q.scores(m, name=f'sc{m}')}" for m in (20, 50))
-    both = " union all ".join(f"select {m} as max_df, s1_id, cand_id, score_all from sc{m}" for m in (20, 50))
+def _sweep_sql(max_dfs: list[int], top_ks: list[int]) -> str:
+    parts = ", ".join(f"{Q.scores(m, name=f'sc{m}')}" for m in max_dfs)
+    both = " union all ".join(f"select {m} as max_df, s1_id, cand_id, score_all from sc{m}" for m in max_dfs)
     return f"""with {Q.KEYED}, {parts}, u as ({both}), r as (select *, row_number() over (partition by max_df, s1_id order by score_all desc, cand_id) as place from u),
-      x as (select r.*, k.top_k from r join (values (5), (10)) k(top_k) on place <= top_k)
+      x as (select r.*, k.top_k from r join (values {', '.join(f'({k})' for k in top_ks)}) k(top_k) on place <= top_k)
       select max_df, top_k, count(*) as pairs, count(distinct s1_id) as entities, sum(case when t.cand_id is not null then 1 else 0 end)::bigint as found from x left join truth t using (s1_id, cand_id) group by 1, 2"""
 
 
-@query(_sweep_sql())
-def block_sweep(s, d):
+def _sweep(s, d, max_dfs: list[int], top_ks: list[int]) -> DataFrame:
     pool = _norm(_pool(s, d))
     a, b, n = keys.record_keys(_norm(_s1(s, d))), keys.record_keys(pool), pool.count()
-    scored = [blocking.shared_keys(a, blocking.build_index(a, b, n, m)).select(F.lit(m).alias("max_df"), "s1_id", "cand_id", "score_all") for m in (20, 50)]
-    return blocking.sweep(scored[0].unionByName(scored[1]), _truth(s, d), [20, 50], [5, 10])
+    scored = [blocking.shared_keys(a, blocking.build_index(a, b, n, m)).select(F.lit(m).alias("max_df"), "s1_id", "cand_id", "score_all") for m in max_dfs]
+    return blocking.sweep(reduce(DataFrame.unionByName, scored), _truth(s, d), max_dfs, top_ks)
+
+
+@query(_sweep_sql([20, 50], [5, 10]))
+def block_sweep(s, d):
+    return _sweep(s, d, [20, 50], [5, 10])
+
+
+@query(_sweep_sql(WIDE_DFS, WIDE_KS))
+def block_sweep_wide(s, d):
+    """The reference's grid of designs."""
+    return _sweep(s, d, WIDE_DFS, WIDE_KS)
 
 
 @query(f"""with {CAND}, b as (select sum(a * b) as brute from (select country, count(*) as a from s1 group by country) join (select country, count(*) as b from pool group by country) using (country))

@@ -156,3 +156,16 @@ def test_sql_says_the_same(spark, sf_dir, name):
     assert sorted(at) == cols
     want = sorted(repr(tuple(_same(r[at.index(k)]) for k in cols)) for r in cur.fetchall())
     assert sorted(repr(tuple(_same(r[k]) for k in cols)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["block_candidates_wide", "block_sweep_wide"])
+def test_wide_design_says_the_same(spark, sf_dir, name):
+    test_sql_says_the_same(spark, sf_dir, name)
+
+
+def test_wide_design_keeps_common_keys(spark, tmp_path):
+    row = "entity_id string, business_name string, business_address string, country string"
+    copies = [(f"S2-{i:03d}", "red fox", "", "US") for i in range(60)]
+    for table, rows in (("train_source1", [("S1-1", "red fox", "", "US")]), ("train_source2", copies), ("train_source3", [("S3-1", "blue whale", "", "US")])):
+        spark.createDataFrame(rows, row).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert registry.QUERIES["block_candidates_wide"](spark, str(tmp_path)).count() == 60
