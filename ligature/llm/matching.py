@@ -2,8 +2,10 @@
 
 Method: sorted neighbourhood. Records of all sources are brought into one order under each of several
 composite keys (place then name; name then place; the name run together, in both orders and backwards; the
-name's consonants), and every record is compared with those at most ``window`` places away from it. One
-range-partitioned sort does all passes, and windows reach over the seams between partitions. A pair's
+name's consonants), and every record is compared with those at most ``window`` places away from it. Records
+of a source that read the same take one place together, so copies don't fill a window; readings with equal
+words and places are compared however many lie between them. One range-partitioned sort does all passes, and
+windows reach over the seams between partitions. A pair's
 confidence is a weighted sum of field similarities, put through the logistic function. In the end each pool
 record goes to one reference record so that the total confidence is greatest; as a reference record may own
 any number of pool records, that is the best reference record of every pool record, its confidence shared by
@@ -117,6 +119,7 @@ def signature(words: list[str]) -> int:
 
 
 FIELDS = ["id", "country", "source", "words", "first", "line", "town", "street", "direction", "number", "type", "bits"]
+READING = FIELDS[1:]
 RECORD = "id string, country string, source int, words array<string>, first string, line string, town string, street string, direction string, number string, type string, bits long"
 
 
@@ -138,12 +141,25 @@ def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address:
     places = resolve(both.where("address is not null").select("country", "address").distinct())
     located = both.join(places, ["country", "address"], "left").drop("address")
     read = scatter(located, "id").mapInPandas(_read, RECORD)
-    # numbers stand for the keys while pairs are made; they are fixed by being written
-    out = materialize(read.withColumn("row", F.monotonically_increasing_id()), "records")
+    out = materialize(read, "records")
     discard(both, places)
     return out
 
 
+def distinct_readings(r: DataFrame) -> DataFrame:
+    """The readings of records, each once for a source, with their number of records and smallest key."""
+    alike = r.groupBy(*READING).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    # numbers stand for the readings while pairs are made; they are fixed by being written
+    return materialize(alike.withColumn("row", F.monotonically_increasing_id()), "readings")
+
+
+def members(r: DataFrame, readings: DataFrame, source: int, name: str) -> DataFrame:
+    """(name, id): the numbers of a source's readings, and the keys of their records."""
+    on = [c for c in READING if c not in ("source", "bits")]
+    numbers = readings.where(F.col("source") == source).select(F.col("row").alias(name), *on)
+    return r.where(F.col("source") == source).select("id", *on).join(numbers, on).select(name, "id")
+
+
 def sort_keys(r: DataFrame) -> DataFrame:
     """Rows (key, source, row, bits, door) for all passes; a pass whose fields are empty has no row of the record."""
     words = F.array_join(F.array_sort("words"), " ")
@@ -235,24 +251,49 @@ def neighbours(rows: DataFrame, window: int) -> DataFrame:
     return out
 
 
-def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """Compared pairs: (reference, pool, confidence, NAMES...)."""
-    r = records(reference, pool, key, name, address, country)
-    pairs = neighbours(sort_keys(r), window)
+def equal_readings(readings: DataFrame) -> DataFrame:
+    """(reference, pool) rows with equal words at one place, or with equal words, first name and line of which one has no place."""
+    some = readings.where(F.size("words") > 0).select("source", "row", "country", F.array_join(F.array_sort("words"), " ").alias("words"), "first", "line", "town", "street", "direction", "number")
+
+    def side(source: int, name: str, placed: bool | None) -> DataFrame:
+        rows = some.where(F.col("source") == source).withColumnRenamed("row", name).drop("source")
+        return rows if placed is None else rows.where((F.col("number") != "") == F.lit(placed))
+
+    def meet(a: bool | None, b: bool | None, on: list[str]) -> DataFrame:
+        return side(0, "reference", a).join(side(1, "pool", b), ["country", "words", *on]).select("reference", "pool")
+
+    named = ["first", "line"]
+    return meet(True, True, ["town", "street", "direction", "number"]).unionByName(meet(False, None, named)).unionByName(meet(True, False, named))
+
+
+def scored_readings(readings: DataFrame, window: int, weights: tuple[float, ...]) -> DataFrame:
+    """Compared pairs of readings: (reference, pool, least_id, copies, confidence, NAMES...); id and number of the reference's records."""
+    near = neighbours(sort_keys(readings), window)
+    pairs = near.unionByName(equal_readings(readings)).distinct()
     words = F.col("words")
-    sides = r.select("source", "row", "id", "country", "line", "first", "number", "town", "street", "direction", "type", F.array_join(F.array_sort(words), "").alias("sorted"), F.array_join(words, "").alias("run"), F.array_join(F.reverse(words), "").alias("back"))
+    sides = readings.select("source", "row", "id", "copies", "country", "line", "first", "number", "town", "street", "direction", "type", F.array_join(F.array_sort(words), "").alias("sorted"), F.array_join(words, "").alias("run"), F.array_join(F.reverse(words), "").alias("back"))
     cols = [c for c in sides.columns if c not in ("source", "row")]
     a = sides.where("source = 0").select(F.col("row").alias("reference"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = sides.where("source = 1").select(F.col("row").alias("pool"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    b = sides.where("source = 1").select(F.col("row").alias("pool"), *[F.col(c).alias(f"b_{c}") for c in cols if c not in ("id", "copies")])
     # what the first join shuffles is gone before the second one begins
     half = materialize(pairs.join(a, "reference"), "half-pairs")
-    discard(pairs)
+    discard(near)
     wide = half.join(b, "pool").where("a_country = b_country")
-    wide = wide.select(F.col("a_id").alias("reference"), F.col("b_id").alias("pool"), *[v.alias(k) for k, v in similarities().items()])
+    wide = wide.select("reference", "pool", F.col("a_id").alias("least_id"), F.col("a_copies").alias("copies"), *[v.alias(k) for k, v in similarities().items()])
     total = sum((F.col(n) * w for n, w in zip(NAMES, weights[1:], strict=True)), F.lit(weights[0]))
     return wide.withColumn("confidence", 1 / (1 + F.exp(-total)))
 
 
+def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """Compared pairs: (reference, pool, confidence, NAMES...)."""
+    r = records(reference, pool, key, name, address, country)
+    readings = distinct_readings(r)
+    pairs = scored_readings(readings, window, weights)
+    for source, side in enumerate(("reference", "pool")):
+        pairs = pairs.join(members(r, readings, source, side), side).drop(side).withColumnRenamed("id", side)
+    return pairs.select("reference", "pool", *NAMES, "confidence")
+
+
 def match(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS, least: float = 0.35) -> DataFrame:
     """(reference, pool, confidence): each pool record with its reference record, if any is confident enough.
 
@@ -260,7 +301,10 @@ def match(reference: DataFrame, pool: DataFrame, key: str, name: str, address: s
     addresses leave the place open; null and empty names match nothing. Of reference records with equal
     confidence the smaller key is taken, with the confidence divided by their number.
     """
-    pairs = scored_pairs(reference, pool, key, name, address, country, window, weights).select("reference", "pool", F.round("confidence", 9).alias("confidence"))
+    r = records(reference, pool, key, name, address, country)
+    readings = distinct_readings(r)
+    pairs = scored_readings(readings, window, weights).select("pool", "least_id", "copies", F.round("confidence", 9).alias("confidence"))
     w = Window.partitionBy("pool")
-    best = pairs.withColumn("top", F.max("confidence").over(w)).where("confidence = top").groupBy("pool").agg(F.min("reference").alias("reference"), (F.max("confidence") / F.count("*")).alias("confidence"))
-    return best.where(F.col("confidence") >= least).select("reference", "pool", "confidence")
+    best = pairs.withColumn("top", F.max("confidence").over(w)).where("confidence = top").groupBy("pool").agg(F.min("least_id").alias("reference"), (F.max("confidence") / F.sum("copies")).alias("confidence"))
+    best = best.where(F.col("confidence") >= least)
+    return best.join(members(r, readings, 1, "pool"), "pool").select("reference", F.col("id").alias("pool"), "confidence")

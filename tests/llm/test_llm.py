@@ -251,3 +251,17 @@ def test_neighbours_over_partitions(spark):
                 wanted.add((a[2], b[2]) if a[1] == 0 else (b[2], a[2]))
     got = [(r.reference, r.pool) for r in matching.neighbours(df, 3).collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_match_in_a_group_of_copies(spark):
+    schema = "entity_id string, n string, a string, country string"
+    ref = spark.createDataFrame([("S1-1", "Foxbrook Denham Foods", "42 Wexley St, Dunmore", "US"), ("S1-2", "Tarrow Quill", None, "US")], schema)
+    lines = ["Foods", "Plumbing", "Hotel", "Bakery", "Motors", "Textiles", "Jewellers", "Pharmacy", "Printing", "Software", "Logistics", "Furniture", "Traders", "Electronics"]
+    copies = [(f"S2-{i:03d}", "Foxbrook Denham Foods", "42 Wexley St, Dunmore", "US") for i in range(60)]
+    homes = [(f"S3-{i:03d}", "Tarrow Quill", f"{i + 1} Elm St, Dunmore", "US") for i in range(40)]
+    other = [(f"S2-9{i:02d}", f"Foxbrook Denham {x}", "42 Wexley St, Dunmore", "US") for i, x in enumerate(lines)]
+    found = matching.match(ref, spark.createDataFrame(copies + homes + other, schema), "entity_id", "n", "a", "country").collect()
+    got = {(r.reference, r.pool) for r in found}
+    assert len(found) == len(got) and {("S1-1", x[0]) for x in copies} | {("S1-2", x[0]) for x in homes} <= got
+    compared = {(r.reference, r.pool) for r in matching.scored_pairs(ref, spark.createDataFrame(copies + other, schema), "entity_id", "n", "a", "country").collect()}
+    assert {("S1-1", x[0]) for x in copies + other} <= compared
