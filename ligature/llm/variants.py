@@ -5,8 +5,9 @@ business (``names``). Which proper words are spellings of one another is found b
 pivot cells; a name then carries, beside its own words, the commoner spellings its rare words may stand for,
 and names meet in an equi-join on these words.
 
-Two words one edit apart that are both established, that is, are used in several different names each, are
-different names and not spellings of one.
+Two words one edit apart that are both established, that is, are used in several different names each, and of
+which neither is many times commoner, are different names and not spellings of one. In names whose other words
+are equal they are spellings of one all the same.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ligature.llm.metric import radius_pairs
 from ligature.llm.names import read_name
@@ -33,20 +34,31 @@ def read_names(names: DataFrame) -> DataFrame:
     return scatter(names, "country", "name").mapInPandas(_read, "country string, name string, words array<string>, first string, line string")
 
 
-def spellings(parsed: DataFrame, established: int = 3) -> DataFrame:
-    """(country, word, meant): words that may stand for a commoner one, one edit away.
+def _beside(word: Column) -> Column:
+    return F.array_join(F.array_remove("words", word), " ")
 
-    ``established`` is the number of different companions from which on a spelling is a name of its own.
+
+def spellings(parsed: DataFrame, established: int = 3, times: int = 8) -> DataFrame:
+    """(country, word, beside, meant): words that may stand for a commoner one, one edit away.
+
+    ``established`` is the number of different companions from which on a spelling is a name of its own, unless
+    the other is ``times`` as common; beside is null. A spelling that is a name of its own stands for the
+    commoner one only beside the other words, in beside, that a name with the commoner one has too.
     """
-    uses = parsed.select("country", F.explode("words").alias("word"), F.concat_ws(" ", "words", "first").alias("whole"))
+    uses = parsed.select("country", "words", F.explode("words").alias("word"), F.concat_ws(" ", "words", "first").alias("whole"))
     uses = uses.withColumn("rest", F.expr("trim(replace(concat(' ', whole, ' '), concat(' ', word, ' '), ' '))"))
     counted = materialize(uses.groupBy("country", "word").agg(F.countDistinct("rest").alias("uses")), "proper-words")
     pairs = radius_pairs(counted.where(F.length("word") >= 4), "country", "word")
     n = counted.select("country", F.col("word").alias("w"), "uses")
     known = pairs.join(n.select("country", F.col("w").alias("word_a"), F.col("uses").alias("n_a")), ["country", "word_a"]).join(n.select("country", F.col("w").alias("word_b"), F.col("uses").alias("n_b")), ["country", "word_b"])
-    known = known.where(F.least("n_a", "n_b") < established)
+    rarer, commoner = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("word_a") < F.col("word_b")))
-    return known.select("country", F.when(first, F.col("word_b")).otherwise(F.col("word_a")).alias("word"), F.when(first, F.col("word_a")).otherwise(F.col("word_b")).alias("meant"))
+    alike = ((rarer < established) | (commoner >= times * rarer)).alias("alike")
+    known = materialize(known.select("country", F.when(first, F.col("word_b")).otherwise(F.col("word_a")).alias("word"), F.when(first, F.col("word_a")).otherwise(F.col("word_b")).alias("meant"), alike), "near-words")
+    near = uses.select("country", "word", _beside(F.col("word")).alias("beside")).where("beside <> ''").distinct()
+    own = known.where("not alike").join(near, ["country", "word"])
+    own = own.join(near.withColumnRenamed("word", "meant"), ["country", "meant", "beside"], "left_semi")
+    return known.where("alike").select("country", "word", F.lit(None).cast("string").alias("beside"), "meant").unionByName(own.select("country", "word", "beside", "meant"))
 
 
 def _keys(choices: list[list[str]]) -> list[str]:
@@ -71,9 +83,12 @@ def name_pairs(df: DataFrame, key: str, name: str, country: str) -> DataFrame:
     rows = materialize(rows, "names")
     parsed = materialize(read_names(rows.select("country", "name").distinct()).where(F.size("words") > 0), "parsed-names")
     meant = materialize(spellings(parsed), "spellings")
-    per_word = meant.groupBy("country", "word").agg(F.collect_set("meant").alias("meant"))
-    words = parsed.select("country", "name", "first", "line", F.posexplode("words").alias("at", "word"))
-    chosen = words.join(per_word, ["country", "word"], "left").select("country", "name", "first", "line", "at", F.array_union(F.array("word"), F.coalesce("meant", F.array().cast("array<string>"))).alias("choice"))
+    per_word = meant.where("beside is null").groupBy("country", "word").agg(F.collect_set("meant").alias("meant"))
+    per_name = meant.where("beside is not null").groupBy("country", "word", "beside").agg(F.collect_set("meant").alias("meant_here"))
+    words = parsed.select("country", "name", "first", "line", "words", F.posexplode("words").alias("at", "word")).withColumn("beside", _beside(F.col("word"))).drop("words")
+    none = F.array().cast("array<string>")
+    choice = F.array_union(F.array_union(F.array("word"), F.coalesce("meant", none)), F.coalesce("meant_here", none))
+    chosen = words.join(per_word, ["country", "word"], "left").join(per_name, ["country", "word", "beside"], "left").select("country", "name", "first", "line", "at", choice.alias("choice"))
     chosen = chosen.groupBy("country", "name", "first", "line").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "choice"))), lambda x: x["choice"]).alias("choices"))
     keyed = chosen.mapInPandas(_all_keys, "country string, name string, first string, line string, keys array<string>")
     keyed = materialize(keyed.select("country", "name", "first", "line", F.explode("keys").alias("key")), "name-keys")

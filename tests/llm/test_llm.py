@@ -265,3 +265,15 @@ def test_match_in_a_group_of_copies(spark):
     assert len(found) == len(got) and {("S1-1", x[0]) for x in copies} | {("S1-2", x[0]) for x in homes} <= got
     compared = {(r.reference, r.pool) for r in matching.scored_pairs(ref, spark.createDataFrame(copies + other, schema), "entity_id", "n", "a", "country").collect()}
     assert {("S1-1", x[0]) for x in copies + other} <= compared
+
+
+# ------------------------------------------------------------------ growth: absolute counts don't switch links off
+
+
+def test_common_misspellings_of_a_common_name(spark):
+    others = ["Kelver", "Brastow", "Quindle", "Hamwick", "Jorvane", "Tusmore", "Wexcombe", "Pilgard", "Ostrey", "Lindham", "Corfast", "Yaldune"] + [f"{a}{b}" for a in ("Gront", "Fesk", "Vurm", "Dapl") for b in ("ingway", "ostle", "ebury", "antock", "ulmish")]
+    rows = [(f"r{i}", f"Fairbanks {w}", "US") for i, w in enumerate(others)] + [(f"w{i}", f"Fairbnaks {w}", "US") for i, w in enumerate(others[:3])]
+    rows += [(f"a{i}", f"Merrow {w}", "US") for i, w in enumerate(others[:9])] + [(f"b{i}", f"Merrox {w}", "US") for i, w in enumerate(others[5:12])] + [("c1", "Merrow Foods", "US"), ("c2", "Merrox Foods", "US")]
+    df = spark.createDataFrame(rows, "entity_id string, name string, country string")
+    got = {(r.key_a, r.key_b) for r in variants.name_pairs(df, "entity_id", "name", "country").collect()}
+    assert got == {(f"r{i}", f"w{i}") for i in range(3)} | {(f"a{i}", f"b{i - 5}") for i in range(5, 9)}
