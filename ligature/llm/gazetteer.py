@@ -40,11 +40,11 @@ def read_addresses(addresses: DataFrame) -> DataFrame:
     return scatter(addresses, "country", "address").mapInPandas(_read, schema)
 
 
-def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str, established: int, least: int = 5) -> DataFrame:
+def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str, established: int, least: int = 5, times: int = 8) -> DataFrame:
     """(scope..., word, meant): a spelling and a commoner one, one edit away, that it may stand for.
 
-    Spellings with ``established`` uses or more stand for themselves only. Of equally common ones the
-    smaller string counts as the commoner.
+    Spellings with ``established`` uses or more stand for themselves only, unless the commoner one has
+    ``times`` as many. Of equally common ones the smaller string counts as the commoner.
     """
     rows = words.select(*scope, F.col(word).alias("word"), F.col(uses).alias("uses")).where(F.length("word") >= least)
     cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr(F.col("word"), F.lit(1), i - 1), F.substr(F.col("word"), i + 1)))
@@ -52,7 +52,8 @@ def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str, est
     named = rows.withColumn("at", F.xxhash64(*scope, "word"))
     keyed = named.select("at", "uses", F.explode(F.array_distinct(F.transform(F.concat(F.array("word"), cut), lambda x: F.xxhash64(*scope, x)))).alias("key"))
     a, b = keyed.select("key", "at", F.col("uses").alias("n")), keyed.select("key", F.col("at").alias("to"), F.col("uses").alias("m"))
-    pairs = a.where(F.col("n") < established).join(b, "key").where((F.col("m") >= F.col("n")) & (F.col("at") != F.col("to"))).select("at", "to").distinct()
+    fits = ((F.col("n") < established) & (F.col("m") >= F.col("n"))) | (F.col("m") >= times * F.col("n"))
+    pairs = a.join(b, "key").where(fits & (F.col("at") != F.col("to"))).select("at", "to").distinct()
     meant = named.select(F.col("at").alias("to"), F.col("word").alias("meant"), F.col("uses").alias("m"))
     pairs = pairs.join(named.select("at", *scope, "word", "uses"), "at").join(meant, "to").where((F.col("m") > F.col("uses")) | (F.col("meant") < F.col("word")))
 

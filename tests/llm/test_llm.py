@@ -277,3 +277,12 @@ def test_common_misspellings_of_a_common_name(spark):
     df = spark.createDataFrame(rows, "entity_id string, name string, country string")
     got = {(r.key_a, r.key_b) for r in variants.name_pairs(df, "entity_id", "name", "country").collect()}
     assert got == {(f"r{i}", f"w{i}") for i in range(3)} | {(f"a{i}", f"b{i - 5}") for i in range(5, 9)}
+
+
+def test_common_misspellings_of_a_large_town(spark):
+    streets = ["Wexley", "Kelver", "Brastow", "Quindle", "Hamwick", "Jorvane", "Tusmore", "Pilgard"]
+    rows = [(f"r{s}{i}", f"{i} {s} Street, Dunmore, OH", "US") for s in streets for i in range(1, 9)]
+    rows += [(f"w{i}", f"{i} {s} Street, Dunmroe, OH", "US") for i, s in enumerate(streets[1:6], 20)] + [("x", "77 Wexley Street, Dunmore, OH", "US"), ("y", "77 Wexly Street, Dunmroe, OH", "US")]
+    df = spark.createDataFrame(rows, "entity_id string, business_address string, country string")
+    got = {(r.key_a, r.key_b) for r in gazetteer.same_place(df, "entity_id", "business_address", "country").collect()}
+    assert got == {("x", "y")}
