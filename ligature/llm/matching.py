@@ -299,12 +299,13 @@ def match(reference: DataFrame, pool: DataFrame, key: str, name: str, address: s
 
     Keys count once however often they were delivered; null keys are left out. Null, empty and placeholder
     addresses leave the place open; null and empty names match nothing. Of reference records with equal
-    confidence the smaller key is taken, with the confidence divided by their number.
+    confidence the smaller key is taken, with the confidence divided by their number; ``least`` holds for the
+    confidence before that.
     """
     r = records(reference, pool, key, name, address, country)
     readings = distinct_readings(r)
     pairs = scored_readings(readings, window, weights).select("pool", "least_id", "copies", F.round("confidence", 9).alias("confidence"))
     w = Window.partitionBy("pool")
-    best = pairs.withColumn("top", F.max("confidence").over(w)).where("confidence = top").groupBy("pool").agg(F.min("least_id").alias("reference"), (F.max("confidence") / F.sum("copies")).alias("confidence"))
-    best = best.where(F.col("confidence") >= least)
+    best = pairs.withColumn("top", F.max("confidence").over(w)).where("confidence = top").groupBy("pool").agg(F.min("least_id").alias("reference"), (F.max("confidence") / F.sum("copies")).alias("confidence"), F.max("confidence").alias("undivided"))
+    best = best.where(F.col("undivided") >= least)
     return best.join(members(r, readings, 1, "pool"), "pool").select("reference", F.col("id").alias("pool"), "confidence")

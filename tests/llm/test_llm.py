@@ -286,3 +286,11 @@ def test_common_misspellings_of_a_large_town(spark):
     df = spark.createDataFrame(rows, "entity_id string, business_address string, country string")
     got = {(r.key_a, r.key_b) for r in gazetteer.same_place(df, "entity_id", "business_address", "country").collect()}
     assert got == {("x", "y")}
+
+
+def test_match_with_equal_reference_records(spark):
+    schema = "entity_id string, n string, a string, country string"
+    row = ("Foxbrook Denham Foods", "42 Wexley St, Dunmore", "US")
+    ref = spark.createDataFrame([(f"S1-{i}", *row) for i in range(4)], schema)
+    found = matching.match(ref, spark.createDataFrame([("S2-1", *row)], schema), "entity_id", "n", "a", "country").collect()
+    assert [(r.reference, r.pool) for r in found] == [("S1-0", "S2-1")] and 0 < found[0].confidence <= 0.25
