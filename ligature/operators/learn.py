@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -17,19 +17,10 @@ class Experiment:
 
     name: str = "boosting"
     learner: str = "boosting"
-    top_k: int = 10
-    max_df: int = 50
-    ratios: bool = False
-    reverse: bool = False
-    stage2: bool = False
     rounds: int = 20
-    features: tuple[str, ...] = field(default=())
 
 
-EXPERIMENTS = {
-    "logistic": Experiment("logistic", "logistic"), "forest": Experiment("forest", "forest"), "boosting": Experiment(),
-    "wide": Experiment("wide", top_k=20), "reverse": Experiment("reverse", reverse=True), "stage2": Experiment("stage2", reverse=True, stage2=True),
-}
+EXPERIMENTS = {"logistic": Experiment("logistic", "logistic"), "forest": Experiment("forest", "forest"), "boosting": Experiment()}
 
 
 def prepare(pairs: DataFrame, features: list[str], missing: float | None = None) -> DataFrame:

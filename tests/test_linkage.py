@@ -169,3 +169,8 @@ def test_wide_design_keeps_common_keys(spark, tmp_path):
     for table, rows in (("train_source1", [("S1-1", "red fox", "", "US")]), ("train_source2", copies), ("train_source3", [("S3-1", "blue whale", "", "US")])):
         spark.createDataFrame(rows, row).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert registry.QUERIES["block_candidates_wide"](spark, str(tmp_path)).count() == 60
+
+
+def test_every_setting_of_an_experiment_is_read():
+    assert set(learn.Experiment.__dataclass_fields__) == {"name", "learner", "rounds"}
+    assert len({(e.learner, e.rounds) for e in learn.EXPERIMENTS.values()}) == len(learn.EXPERIMENTS)
