@@ -607,7 +607,7 @@ def eval_bootstrap(s, d):
     truth, scored = tables.known_matches(s, d), materialize(_scored(s, d), "scored")
     a = evaluation.score_per_entity(truth, decision.to_lists(decision.global_threshold(scored, 0.5)))
     b = evaluation.score_per_entity(truth, decision.to_lists(decision.one_owner(decision.global_threshold(scored, 0.5))))
-    return evaluation.paired_bootstrap(a, b, 200)
+    return evaluation.paired_bootstrap(a, b)
 
 
 @query(f"""with {SCORED}, kept as (select * from scored where probability >= 0.5) {_entity_sql('kept')}, sa as (select * from sc), o as (select * from (select *, row_number() over (partition by cand_id order by probability desc, s1_id) as place from kept) where place = 1),

@@ -174,3 +174,10 @@ def test_wide_design_keeps_common_keys(spark, tmp_path):
 def test_every_setting_of_an_experiment_is_read():
     assert set(learn.Experiment.__dataclass_fields__) == {"name", "learner", "rounds"}
     assert len({(e.learner, e.rounds) for e in learn.EXPERIMENTS.values()}) == len(learn.EXPERIMENTS)
+
+
+def test_bootstrap_query_draws_as_often_as_the_operator(spark, sf_dir, monkeypatch):
+    drawn = []
+    real = evaluation.paired_bootstrap
+    monkeypatch.setattr(evaluation, "paired_bootstrap", lambda a, b, resamples=1000, seed=42: drawn.append(resamples) or real(a, b, resamples, seed))
+    assert registry.QUERIES["eval_bootstrap"](spark, sf_dir).count() == 1 and drawn == [1000]
