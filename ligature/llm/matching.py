@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ligature.functions.indic import has_indic, romanise
+from ligature.functions.text import TRADE_NAME
 from ligature.llm.gazetteer import resolve
-from ligature.llm.names import LEGAL, LINES, damerau, read_name
+from ligature.llm.names import LEGAL, LINES, LINES_OF_BUSINESS, Lines, damerau, line_usage, read_name
 from ligature.workspace import discard, materialize, scatter, spread
 
 #: Weights of the field similarities, see ``similarities``; the first is the constant.
 WEIGHTS = (-9.0, 11.0, 1.0, 0.5, -5.0, -4.0, 2.5, -1.0, -6.0, 0.0)
 NAMES = ("name", "line_same", "line_open", "line_other", "first_other", "place_same", "place_open", "place_other", "place_near")
 
-_FORMER = re.compile(r"^.+?\s(?:d\.?b\.?a\.?|a\.?k\.?a\.?|formerly(?: known as)?|trading as|t/a|née|nee)[:.]?\s+(?=\S)", re.I)
+_FORMER = re.compile(TRADE_NAME, re.I)
 _WEB = re.compile(r"^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:com|net|org|co\.in|in|co|fr|biz|info|us)/?$", re.I)
 _VOWELS = re.compile(r"[aeiouyh]+")
 
@@ -49,43 +49,51 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", _VOWELS.sub("", s))
 
 
-@lru_cache(1)
-def _spoken_lines() -> dict[str, str]:
-    out = {skeleton(w): full for w, full in LINES.items() if len(skeleton(w)) >= 3 and w == full}
-    out.update({skeleton(w): "" for w in LEGAL if len(w) >= 5})
-    return out
+class Spoken:
+    """Lines of business and legal forms as they sound; of the lines only those that names of the country hold."""
 
+    def __init__(self, used: dict[str, int]) -> None:
+        self.known = {skeleton(w): LINES[w] for w in sorted(LINES_OF_BUSINESS) if LINES[w] in used and len(skeleton(w)) >= 3}
+        self.known.update({skeleton(w): "" for w in sorted(LEGAL) if len(w) >= 5})
+        self.seen: dict[str, str | None] = {}
 
-@lru_cache(50_000)
-def _spoken(word: str) -> str | None:
-    s = skeleton(word)
-    known = _spoken_lines()
-    if s in known:
-        return known[s]
-    if len(s) >= 5:
-        for k, full in known.items():
-            if len(k) >= 4 and damerau(s, k, 1) <= 1:
-                return full
-    return None
+    def __call__(self, word: str) -> str | None:
+        """The line that the word sounds like, "" for a legal form, None for neither."""
+        if word not in self.seen:
+            if len(self.seen) >= 50_000:
+                self.seen.clear()
+            s = skeleton(word)
+            near = [s] if s in self.known else [k for k in self.known if len(s) >= 5 and len(k) >= 4 and damerau(s, k, 1) <= 1]
+            self.seen[word] = self.known[near[0]] if near else None
+        return self.seen[word]
 
 
-def read_any(name: str) -> tuple[list[str], str, str]:
+class Reader:
     """Like ``read_name``, also for names in Indic scripts, web addresses, handles and former names."""
-    text = _FORMER.sub("", name.strip())
-    if m := _WEB.match(text.strip().strip("#@")):
-        text = m[1]
-    text = text.lstrip("#@")
-    if not has_indic(text):
-        return read_name(text)
-    words, first, line = read_name(romanise(text))
-    lines, kept = set(line.split()), []
-    for w in words:
-        spoken = _spoken(w)
-        if spoken is None:
-            kept.append(w)
-        elif spoken and spoken != "works":
-            lines.add(spoken)
-    return (kept, first, " ".join(sorted(lines))) if kept else (words, first, line)
+
+    def __init__(self, used: dict[str, int] | None = None) -> None:
+        self.lines, self.spoken = Lines(used), Spoken(used or {})
+
+    def __call__(self, name: str) -> tuple[list[str], str, str]:
+        text = _FORMER.sub("", name.strip())
+        if m := _WEB.match(text.strip().strip("#@")):
+            text = m[1]
+        text = text.lstrip("#@")
+        if not has_indic(text):
+            return read_name(text, self.lines)
+        words, first, line = read_name(romanise(text), self.lines)
+        lines, kept = set(line.split()), []
+        for w in words:
+            spoken = self.spoken(w)
+            if spoken is None:
+                kept.append(w)
+            elif spoken:
+                lines.add(spoken)
+        return (kept, first, " ".join(sorted(lines))) if kept else (words, first, line)
+
+
+def read_any(name: str) -> tuple[list[str], str, str]:
+    return Reader()(name)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -123,11 +131,15 @@ READING = FIELDS[1:]
 RECORD = "id string, country string, source int, words array<string>, first string, line string, town string, street string, direction string, number string, type string, bits long"
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        parts = [read_any(n or "") for n in pdf.name]
-        out = pdf.assign(words=[p[0] for p in parts], first=[p[1] for p in parts], line=[p[2] for p in parts], bits=[signature(p[0]) for p in parts])
-        yield out[FIELDS].fillna({c: "" for c in ("town", "street", "direction", "number", "type")})
+def _read(usage: dict[str, dict[str, int]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        readers: dict[str, Reader] = {}
+        for pdf in batches:
+            parts = [(readers[c] if c in readers else readers.setdefault(c, Reader(usage.get(c))))(n or "") for n, c in zip(pdf.name, pdf.country, strict=True)]
+            out = pdf.assign(words=[p[0] for p in parts], first=[p[1] for p in parts], line=[p[2] for p in parts], bits=[signature(p[0]) for p in parts])
+            yield out[FIELDS].fillna({c: "" for c in ("town", "street", "direction", "number", "type")})
+
+    return run
 
 
 def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str) -> DataFrame:
@@ -140,7 +152,7 @@ def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address:
     both = materialize(sides[0].unionByName(sides[1]), "sides")
     places = resolve(both.where("address is not null").select("country", "address").distinct())
     located = both.join(places, ["country", "address"], "left").drop("address")
-    read = scatter(located, "id").mapInPandas(_read, RECORD)
+    read = scatter(located, "id").mapInPandas(_read(line_usage(both, "name", "country")), RECORD)
     out = materialize(read, "records")
     discard(both, places)
     return out
