@@ -5,11 +5,12 @@ street spellings that occur are counted and clustered, a rare spelling pointing
 away. The gazetteer's entries are (country, town, street); their spelling in the most common form is the
 street's identifier. Every address is then resolved by a beam search over the entries: its readings are
 expanded first by the towns they may mean, then by the streets of those towns, and after each step the best
-``beam`` hypotheses stay. Addresses meet on identifier, direction and number; a street type may be missing. A
-unit, floor, building, landmark, area or state makes no other place and is no part of the key.
+``beam`` hypotheses stay. Addresses meet on identifier, direction and number, and on the unit if asked for; a
+street type may be missing. A floor, building, landmark, area or state makes no other place.
 
 Spellings one edit apart are found by an equi-join on words and their one-letter deletions, which is exact
-and linear in the number of spellings.
+and linear in the number of spellings. Nothing depends on how many records there are: a spelling always keeps
+the commoner ones near it as hypotheses, and the entries that other addresses state decide.
 """
 
 from __future__ import annotations
@@ -17,45 +18,46 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ligature.llm.names import damerau
-from ligature.llm.places import readings
+from ligature.llm.places import read_parts
 from ligature.workspace import discard, materialize, scatter
 
 PLACE = ["country", "town", "street", "direction", "number", "type"]
+#: A spelling of fewer letters than this has no near ones: one edit makes another word of it.
+LEAST = 4
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("number", "direction", "street", "type", "town")
     for pdf in batches:
-        out = []
-        for country, address in zip(pdf.country, pdf.address, strict=True):
-            out += [(country, address, i, *r) for i, r in enumerate(readings(address, country))]
-        yield pd.DataFrame(out, columns=["country", "address", "reading", "number", "direction", "street", "type", "town"])
+        parts = [read_parts(a, c) for a, c in zip(pdf.address, pdf.country, strict=True)]
+        yield pdf.assign(unit=[p[1] for p in parts], readings=[[dict(zip(names, r, strict=True)) for r in p[0]] for p in parts])
 
 
 def read_addresses(addresses: DataFrame) -> DataFrame:
-    """Readings of distinct (country, address) rows."""
-    schema = "country string, address string, reading int, number string, direction string, street string, type string, town string"
-    return scatter(addresses, "country", "address").mapInPandas(_read, schema)
+    """Distinct (country, address) rows with their unit and array of readings."""
+    reading = "struct<number:string,direction:string,street:string,type:string,town:string>"
+    return scatter(addresses, "country", "address").mapInPandas(_read, f"country string, address string, unit string, readings array<{reading}>")
 
 
-def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str, established: int, least: int = 5, times: int = 8) -> DataFrame:
-    """(scope..., word, meant): a spelling and a commoner one, one edit away, that it may stand for.
+def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str) -> DataFrame:
+    """(scope..., word, meant): a spelling and one not less common, one edit away, that it may stand for.
 
-    Spellings with ``established`` uses or more stand for themselves only, unless the commoner one has
-    ``times`` as many. Of equally common ones the smaller string counts as the commoner.
+    Of equally common ones the smaller string counts as the commoner. Spellings with a digit ("5th") and of
+    fewer than ``LEAST`` letters stand for themselves only.
     """
-    rows = words.select(*scope, F.col(word).alias("word"), F.col(uses).alias("uses")).where(F.length("word") >= least)
+    rows = words.select(*scope, F.col(word).alias("word"), F.col(uses).alias("uses")).where((F.length("word") >= LEAST - 1) & ~F.col("word").rlike("[0-9]"))
     cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr(F.col("word"), F.lit(1), i - 1), F.substr(F.col("word"), i + 1)))
     # only hashes are exploded and joined; the words themselves come back for the pairs that are left
     named = rows.withColumn("at", F.xxhash64(*scope, "word"))
     keyed = named.select("at", "uses", F.explode(F.array_distinct(F.transform(F.concat(F.array("word"), cut), lambda x: F.xxhash64(*scope, x)))).alias("key"))
     a, b = keyed.select("key", "at", F.col("uses").alias("n")), keyed.select("key", F.col("at").alias("to"), F.col("uses").alias("m"))
-    fits = ((F.col("n") < established) & (F.col("m") >= F.col("n"))) | (F.col("m") >= times * F.col("n"))
-    pairs = a.join(b, "key").where(fits & (F.col("at") != F.col("to"))).select("at", "to").distinct()
+    pairs = a.join(b, "key").where((F.col("m") >= F.col("n")) & (F.col("at") != F.col("to"))).select("at", "to").distinct()
     meant = named.select(F.col("at").alias("to"), F.col("word").alias("meant"), F.col("uses").alias("m"))
     pairs = pairs.join(named.select("at", *scope, "word", "uses"), "at").join(meant, "to").where((F.col("m") > F.col("uses")) | (F.col("meant") < F.col("word")))
+    pairs = pairs.where(F.greatest(F.length("word"), F.length("meant")) >= LEAST)
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -64,41 +66,46 @@ def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str, est
     return pairs.where(close("word", "meant")).select(*scope, "word", "meant")
 
 
-def resolve(addresses: DataFrame, beam: int = 4, established: int = 4) -> DataFrame:
-    """Places of distinct (country, address) rows: PLACE columns beside country and address.
+def _best(df: DataFrame, by: list[Column | str], most: int) -> DataFrame:
+    w = Window.partitionBy("at").orderBy(*by)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
+
+
+def resolve(addresses: DataFrame, beam: int = 4) -> DataFrame:
+    """Places of distinct (country, address) rows: PLACE columns and unit beside country and address.
 
     Addresses in which no house number with a street can be read have no row.
     """
-    read = materialize(read_addresses(addresses), "address-readings")
-    towns = read.groupBy("country", "town").agg(F.countDistinct("street", "number").alias("uses"))
-    other_town = near_spellings(towns, ["country"], "town", "uses", established)
-    to_town = towns.select("country", F.col("town").alias("word"), F.col("town").alias("meant"), F.lit(0).alias("edits")).unionByName(other_town.select("country", "word", "meant", F.lit(1).alias("edits")))
-    # first step of the search: towns that a reading may mean
-    step = read.join(to_town.withColumnRenamed("word", "town"), ["country", "town"])
-    weight = towns.select("country", F.col("town").alias("meant"), F.col("uses").alias("town_uses"))
-    step = step.join(weight, ["country", "meant"])
-    best = Window.partitionBy("country", "address").orderBy("edits", F.desc("town_uses"), "reading", "meant")
-    step = step.withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam)
-    step = materialize(step.select("country", "address", "reading", "number", "direction", "street", "type", F.col("meant").alias("town"), "edits", "town_uses"), "town-hypotheses")
+    # numbers stand for the addresses during the search; they are fixed by being written
+    texts = materialize(read_addresses(addresses).withColumn("at", F.monotonically_increasing_id()), "address-readings")
+    read = texts.select("at", "country", F.posexplode("readings").alias("reading", "r")).select("at", "country", "reading", "r.*")
+    towns = materialize(read.groupBy("country", "town").agg(F.countDistinct("street", "number").alias("town_uses")), "towns")
+    near = near_spellings(towns, ["country"], "town", "town_uses").select("country", F.col("word").alias("town"), "meant", F.lit(1).alias("edits"))
+    to_town = towns.select("country", "town", F.col("town").alias("meant"), F.lit(0).alias("edits"), "town_uses").unionByName(near.join(towns.withColumnRenamed("town", "meant"), ["country", "meant"]))
+    # first step of the search: towns that a reading may mean; one that nobody else states comes last
+    step = read.join(to_town, ["country", "town"]).drop("town").withColumnRenamed("meant", "town")
+    step = _best(step, [(F.col("town_uses") <= 1) & (F.col("edits") == 0), "edits", F.desc("town_uses"), "reading", "town"], beam)
+    step = materialize(step, "town-hypotheses")
     # streets of the towns as stated there, without the addresses' own guesses at other towns
-    streets = step.groupBy("country", "town", "street").agg(F.countDistinct("number", "address").alias("uses"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("stated"))
-    other_street = near_spellings(streets, ["country", "town"], "street", "uses", 1 << 30)
-    to_street = streets.select("country", "town", F.col("street").alias("word"), F.col("street").alias("meant"), F.lit(0).alias("off")).unionByName(other_street.select("country", "town", "word", "meant", F.lit(1).alias("off")))
-    last = step.join(to_street.withColumnRenamed("word", "street"), ["country", "town", "street"])
+    streets = step.groupBy("country", "town", "street").agg(F.countDistinct("number", "at").alias("uses"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("stated"))
+    streets = materialize(streets, "streets")
+    other = near_spellings(streets, ["country", "town"], "street", "uses").select("country", "town", F.col("word").alias("street"), "meant", F.lit(1).alias("off"))
     support = streets.select("country", "town", F.col("street").alias("meant"), "uses", "stated")
-    last = last.join(support, ["country", "town", "meant"])
+    to_street = streets.select("country", "town", "street", F.col("street").alias("meant"), F.lit(0).alias("off"), "uses", "stated").unionByName(other.join(support, ["country", "town", "meant"]))
+    last = step.join(to_street, ["country", "town", "street"])
     # an entry that other addresses state beats one that only this address makes up
-    others = F.col("uses") - F.when(F.col("off") == 0, 1).otherwise(0)
-    order = Window.partitionBy("country", "address").orderBy(F.desc((others > 0).cast("int") * (F.col("stated") > F.when((F.col("edits") == 0) & (F.col("off") == 0), 1).otherwise(0)).cast("int")), F.col("edits") + F.col("off"), F.desc("uses"), F.desc("town_uses"), "reading", "meant")
-    one = last.withColumn("place", F.row_number().over(order)).where("place = 1")
-    one = one.select("country", "address", "town", F.col("meant").alias("street"), "direction", "number", "type")
+    others = F.col("uses") > F.when(F.col("off") == 0, 1).otherwise(0)
+    stated = F.col("stated") > F.when((F.col("edits") == 0) & (F.col("off") == 0), 1).otherwise(0)
+    one = _best(last, [~(others & stated), F.col("edits") + F.col("off"), F.desc("uses"), F.desc("town_uses"), "reading", "town", "meant"], 1)
+    one = materialize(one.select("at", "country", "town", F.col("meant").alias("street"), "direction", "number", "type"), "places")
+    discard(step, towns, streets)
     # a number on the same street, or in the same town, is evidence enough to take one edit as a typo
-    one = materialize(one, "places")
-    discard(read, step)
     for name, rest in (("town", "street"), ("street", "town"), ("town", "street")):
         before, one = one, _settle(one, ["country", "direction", "number", rest], name)
         discard(before)
-    return one
+    out = materialize(one.drop("country").join(texts.select("at", "country", "address", "unit"), "at").drop("at"), "places")
+    discard(one, texts)
+    return out
 
 
 def _settle(places: DataFrame, scope: list[str], name: str) -> DataFrame:
@@ -106,26 +113,51 @@ def _settle(places: DataFrame, scope: list[str], name: str) -> DataFrame:
     used = places.groupBy(*scope, name).agg(F.count("*").alias("uses"))
     several = used.groupBy(*scope).agg(F.count("*").alias("spellings")).where("spellings > 1").select(*scope)
     used = materialize(used.join(several, scope, "left_semi"), "spellings-of-places")
-    near = near_spellings(used, scope, name, "uses", 1 << 30, least=4)
+    near = near_spellings(used, scope, name, "uses")
     near = near.join(used.withColumnRenamed(name, "meant"), [*scope, "meant"]).groupBy(*scope, F.col("word").alias(name)).agg(F.min(F.struct((-F.col("uses")).alias("n"), "meant"))["meant"].alias("meant"))
     out = materialize(places.join(near, [*scope, name], "left").withColumn(name, F.coalesce("meant", name)).drop("meant").select(*places.columns), "places")
     discard(used)
     return out
 
 
-def same_place(df: DataFrame, key: str, address: str, country: str) -> DataFrame:
-    """Pairs of records at one place: (key_a, key_b), key_a < key_b, each pair once.
-
-    A record counts once however often it was delivered. Null, empty and unreadable addresses make no pair, nor
-    do addresses without a house number. Null countries are one country of their own.
-    """
+def located(df: DataFrame, key: str, address: str, country: str) -> DataFrame:
+    """Records with the place of their address: (id, PLACE..., unit), one row for each record with a readable address."""
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(address).alias("address"), F.coalesce(F.col(country).cast("string"), F.lit("")).alias("country"))
     rows = rows.where("id is not null and address is not null").groupBy("id").agg(F.min(F.struct("address", "country")).alias("x")).select("id", "x.address", "x.country")
     rows = materialize(rows, "addresses")
     places = resolve(rows.select("country", "address").distinct())
-    located = materialize(rows.join(places, ["country", "address"]).select("id", *PLACE), "places")
-    a, b = located.alias("a"), located.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in PLACE[:-1]]
+    out = materialize(rows.join(places, ["country", "address"]).select("id", *PLACE, "unit"), "located")
+    discard(rows, places)
+    return out
+
+
+def place_members(df: DataFrame, key: str, address: str, country: str, by_unit: bool = False) -> DataFrame:
+    """(key, place, links): each record with the number of its place and of the other records there.
+
+    The short form of ``same_place``: linear in the records, also where very many stand at one place. Records
+    whose street type is left out belong to the place of the commonest type, and count as links of every type.
+    """
+    rows = located(df, key, address, country)
+    door = [c for c in PLACE if c != "type"] + (["unit"] if by_unit else [])
+    kinds = rows.groupBy(*door, "type").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*door)  # one row for each street type of a door
+    total, none = F.sum("n").over(w), F.coalesce(F.max(F.when(F.col("type") == "", F.col("n"))).over(w), F.lit(0))
+    main = F.max(F.struct("n", "type")).over(w)["type"]
+    main = F.coalesce(F.max(F.when(F.col("type") != "", F.struct("n", "type"))).over(w)["type"], main)
+    kinds = kinds.select(*door, "type", F.xxhash64(*door, F.when(F.col("type") == "", main).otherwise(F.col("type"))).alias("place"), (F.when(F.col("type") == "", total).otherwise(F.col("n") + none) - 1).alias("links"))
+    return rows.join(kinds, [*door, "type"]).select(F.col("id").alias("key"), "place", "links")
+
+
+def same_place(df: DataFrame, key: str, address: str, country: str, by_unit: bool = False) -> DataFrame:
+    """Pairs of records at one place: (key_a, key_b), key_a < key_b, each pair once.
+
+    A record counts once however often it was delivered. Null, empty and unreadable addresses make no pair, nor
+    do addresses without a house number. Null countries are one country of their own. With ``by_unit`` another
+    suite or apartment, or one that is left out, makes another place.
+    """
+    rows = located(df, key, address, country)
+    a, b = rows.alias("a"), rows.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*PLACE[:-1], *(["unit"] if by_unit else []))]
     fits = (F.col("a.type") == F.col("b.type")) | (F.col("a.type") == "") | (F.col("b.type") == "")
     on = fits & (F.col("a.id") < F.col("b.id"))
     for c in same:

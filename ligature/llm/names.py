@@ -149,6 +149,9 @@ def abbreviates(short: str, full: str) -> bool:
     return True
 
 
+_CLIPPED = re.compile("[^aeiouy]{3}")
+
+
 class Lines:
     """The lines of business of one country, with how often its names hold each: that decides what a short form means."""
 
@@ -170,11 +173,11 @@ class Lines:
         if word in LINES:
             return LINES[word]
         if len(word) >= 5:
-            near = [known for x in _deletions(word) for known in _near_lines().get(x, ()) if damerau(word, known, 1) <= 1]
+            near = [known for x in _deletions(word) for known in _near_lines().get(x, ()) if damerau(word, known, 1) <= 1 and known != word + "y"]  # a baker is no bakery
             if near:
                 return LINES.get(min(near, key=lambda w: (-self.used.get(LINES.get(w, ""), 0), w)), "")
         some = _lines_by_letter().get(word[:1], ())
-        short = [w for w in some if abbreviates(word, w)] or [w for w in some if len(word) >= 5 and any(abbreviates(x, w) for x in _deletions(word))]
+        short = [w for w in some if abbreviates(word, w)] or [w for w in some if len(word) >= 5 and _CLIPPED.search(word) and any(abbreviates(x, w) for x in _deletions(word))]
         return LINES[min(short, key=lambda w: (-self.used.get(LINES[w], 0), not w.startswith(word), w[-1] != word[-1], len(w), w))] if short else None
 
 

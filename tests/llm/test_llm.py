@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -185,6 +186,73 @@ def test_radius_join_against_all_pairs(spark):
     assert got == wanted
 
 
+def test_radius_two_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 8))) for _ in range(250)} | {"".join(rng.choice("ab") for _ in range(n)) for n in (22, 23, 24, 25, 26, 27, 28, 40)})
+    long = [w for w in words if len(w) >= 22]
+    for w in long:  # one or two edits of long words, over the border between both ways to join
+        words += [w[:5] + w[6:], w[:9] + w[10] + w[9] + w[11:], w[:3] + "c" + w[3:15] + w[16:], w + "dd"]
+    words = sorted(set(words))
+    got = {(r.word_a, r.word_b, r.distance) for r in metric.radius_pairs(spark.createDataFrame([("x", w) for w in words], "scope string, word string"), "scope", "word", 2).collect()}
+    assert got == {(a, b, d) for i, a in enumerate(words) for b in words[i + 1 :] if (d := names.damerau(a, b, 2)) <= 2}
+
+
+def test_names_within_the_radius_against_all_pairs(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 10))) for _ in range(60)]
+
+    def spoil(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abcdefgh") + w[i:], w[:i] + w[i : i + 2][::-1] + w[i + 2 :], w])
+
+    cores = set()
+    while len(cores) < 2000:
+        pair = [rng.choice(base) for _ in range(rng.choice([2, 2, 2, 3]))]
+        cores.add(tuple(sorted({spoil(spoil(w)) if rng.random() < 0.3 else w for w in pair})))
+    cores = sorted(c for c in cores if len(c) >= 2)
+    got = {(r.a, r.b) for r in variants.linked_names(spark.createDataFrame([("x", list(c)) for c in cores], "country string, words array<string>")).collect()}
+
+    letters = {w: frozenset(w) for c in cores for w in c}
+
+    @lru_cache(None)
+    def fits(x, y):
+        if abs(len(x) - len(y)) > 2 or len(letters[x] ^ letters[y]) > 4:
+            return 99
+        d = names.damerau(x, y, 2)
+        return 99 if d * variants.LETTERS > max(len(x), len(y)) else d
+
+    def near(a, b):
+        rest_a, rest_b = [w for w in a if w not in b], [w for w in b if w not in a]
+        if len(a) != len(b) or len(rest_a) > 2:
+            return False
+        if len(rest_a) == 1:
+            return fits(rest_a[0], rest_b[0]) <= 2
+        return min(fits(rest_a[0], rest_b[0]) + fits(rest_a[1], rest_b[1]), fits(rest_a[0], rest_b[1]) + fits(rest_a[1], rest_b[0])) <= 2
+
+    texts = [" ".join(c) for c in cores]
+    wanted = {(min(texts[i], texts[j]), max(texts[i], texts[j])) for i in range(len(cores)) for j in range(i + 1, len(cores)) if near(cores[i], cores[j])}
+    assert wanted <= got
+    # beyond the radius only names that lie within it of one and the same name
+    within = wanted | {(b, a) for a, b in wanted}
+    beside = {}
+    for a, b in within:
+        beside.setdefault(a, set()).add(b)
+    assert all(beside.get(a, set()) & beside.get(b, set()) for a, b in got - wanted)
+
+
+def test_short_forms_of_lines():
+    used = names.Lines({"developers": 5, "development": 2})
+    assert [used(w) for w in ("dev", "devlprs", "svcs", "mfg", "baker", "mason", "ltd", "rex", "jewellery", "resaurant")] == ["developers", "developers", "services", "manufacturing", None, None, "", None, "jewellery", "restaurant"]
+
+
+def test_names_far_apart_in_use(spark):
+    rows = [("a", "Kowalski Bremner", "US"), ("b", "Kowlaski Bremner", "US"), ("c", "Featherstone Ltd", "US"), ("d", "Fetherstonn Ltd", "US"), ("e", "Rex Holt", "US"), ("f", "Rexx Holt", "US"), ("g", "Jones Miller", "US"), ("h", "James Miller", "US")]
+    more = [(f"k{i}", f"Kowalski {w}", "US") for i, w in enumerate(("Ostrey", "Tusmore", "Wexcombe"))] + [(f"l{i}", f"Kowlaski {w}", "US") for i, w in enumerate(("Lindham", "Corfast", "Yaldune"))]
+    for every in (rows, rows + more):
+        df = spark.createDataFrame(every, "entity_id string, name string, country string")
+        assert sorted((r.key_a, r.key_b) for r in variants.name_pairs(df, "entity_id", "name", "country").collect()) == [("a", "b"), ("c", "d"), ("e", "f")]
+
+
 def test_name_pairs(spark):
     rows = [
         ("a", "Fairbanks & Moreland Industries LLC", "US"), ("b", "Moreland-Fairbanks Inds", "US"), ("c", "The Fairbanks Morelnad", "US"), ("d", "Fairbanks & Moreland Foods Inc", "US"), ("e", "Fairbanks & Moreland Industries LLC", "India"),
@@ -210,6 +278,41 @@ def test_reading_addresses(address, country, wanted):
     assert places.readings(address, country) == [wanted]
 
 
+@pytest.mark.parametrize(
+    ("address", "country", "wanted"),
+    [
+        ("7 Old Mill Road, San Jose", "US", [("7", "", "old mill", "road", "san jose")]), ("7 Old Oak Road, San Jose", "US", [("7", "", "old oak", "road", "san jose")]), ("100 Martin Luther King Blvd, Austin TX 78701", "US", [("100", "", "martin luther king", "boulevard", "austin")]),
+        ("12 rue Victor Basch, 69001 Lyon, France", "France", [("12", "", "victor basch", "rue", "lyon")]), ("Hauptstraße 12, 10115 Berlin", "Germany", [("12", "", "hauptstrasse", "", "berlin")]), ("MG Road 12, Bengaluru", "India", [("12", "", "mg", "road", "bengaluru")]),
+        ("100 5th Ave, New York, NY 10011", "US", [("100", "", "5th", "avenue", "new york")]), ("Dhamo 51, Rokavi Cross Teja Chambers 4th Floor WB", "India", [("51", "", "rokavi", "cross", "dhamo")]), ("12/3 Gana Nagar Road, Pune", "India", [("12/3", "", "gana nagar", "road", "pune")]),
+        ("", "US", []), ("no number", "", []), ("x " * 3000, "US", []),
+    ],
+)
+def test_reading_word_sequences(address, country, wanted):
+    assert places.readings(address, country) == wanted
+
+
+def test_streets_of_several_words(spark):
+    rows = [
+        ("a", "7 Old Mill Road, San Jose", "US"), ("b", "7 Old Oak Road, San Jose", "US"), ("c", "Suite 4, 7 Old Mill Rd, San Jose, CA", "US"), ("d", "100 Martin Luther King Blvd, Austin", "US"), ("e", "100 Martin Gale Road, Austin", "US"), ("f", "100 5th Ave, Austin", "US"), ("g", "100 6th Ave, Austin", "US"),
+        ("h", "Hauptstrasse 12, Berlin", "Germany"), ("i", "Hauptstrase 12, 10115 Berlin", "Germany"), ("j", "12 rue Victor Hugo, Lyon", "France"), ("k", "12 rue Victor Basch, Lyon", "France"), ("l", "7 Old Mill, Suite 5, San Jose", "US"),
+    ]
+    df = spark.createDataFrame(rows, "id string, a string, country string")
+    got = sorted((r.key_a, r.key_b) for r in gazetteer.same_place(df, "id", "a", "country").collect())
+    assert got == [("a", "c"), ("a", "l"), ("c", "l"), ("h", "i")]
+    assert gazetteer.same_place(df, "id", "a", "country", by_unit=True).where("key_a = 'a'").count() == 0
+    links = {r.key: (r.place, r.links) for r in gazetteer.place_members(df, "id", "a", "country").collect()}
+    assert len(links) == len(rows) and links["a"] == links["c"] == links["l"] and links["a"][1] == 2 and links["b"][1] == 0 and links["h"] == links["i"]
+
+
+def test_places_do_not_depend_on_unrelated_records(spark):
+    streets = ["Wexley", "Kelver", "Brastow", "Quindle", "Hamwick", "Jorvane", "Tusmore", "Pilgard"]
+    few = [("x", "77 Wexley Street, Dunmore, OH", "US"), ("y", "77 Wexley Street, Dunmroe, OH", "US")]
+    more = [(f"r{s}{i}", f"{i} {s} Street, {t}, OH", "US") for s in streets for i in range(1, 6) for t in ("Dunmore", "Dunmroe")]
+    for rows in (few, few + more):
+        df = spark.createDataFrame(rows, "id string, a string, country string")
+        assert ("x", "y") in {(r.key_a, r.key_b) for r in gazetteer.same_place(df, "id", "a", "country").collect()}
+
+
 def test_same_place(spark):
     rows = [
         ("a", "42 N Wexley Street, Dunmore, OH", "US"), ("b", "Suite 3, 42 North Wexley St, Dunmore", "US"), ("c", "42 N Wexly, Dunmore, Ohio", "US"), ("d", "42 N Wexley Road, Dunmore, OH", "US"), ("e", "42 S Wexley Street, Dunmore, OH", "US"),
