@@ -2,9 +2,11 @@
 
 Method: length, symbol, punctuation, bullet and common-word statistics of every document, computed over
 batches, then fixed thresholds with a recorded reason for each one that fails. The general thresholds are
-those published for the Gopher and C4 corpora. For typeset articles the same statistics are taken line by
-line over the body (without preamble, title, bibliography and comments), which gives the words and characters
-of prose, lists, tables and junk; a document is no prose if less than half of its body is.
+those published for the Gopher and C4 corpora. For typeset articles, which fail many of them for their formulas
+and commands, the same statistics are taken line by line over the body (without preamble, title, bibliography and
+comments): share of common words, sentence ends, words a sentence and a phrase, repeated words and lines, bullets,
+separators, letters. That gives the words and characters of prose, lists, tables and junk; a document is no prose
+if less than half of its body is.
 """
 
 from __future__ import annotations
@@ -38,10 +40,13 @@ _SWITCH = re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\]]*\])?(?:\{[^}]*\
 _COMMAND = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?|[{}~$]")
 _COMMENT = re.compile(r"(?<!\\)%.*")
 _LETTER_WORD = re.compile(r"[^\W\d_]\S*")
-_PUNCTUATION = str.maketrans("", "", ".,;:!?()")
 _BULLET = re.compile(r"\s*(?:\\item\b|--?\s|[*•·‣–—+o]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|#)")
 _CELLS = re.compile(r"\s*(?:&|\||;|\t|,| {2,})\s*")
 _DENSE = re.compile(r"[,;|\t](?=\S)|\s\|\s|(?<=\S) {2,}(?=\S)")
+_ACCENT = re.compile(r"\\[\"'`^~=.cvuHkrdb]?\{\\?([A-Za-z])\}|\\[\"'`^~=.]\\?([A-Za-z])|\{?\\(ss|ae|oe|AE|OE|o|O|l|L|i|j)\b ?(?:\{\}|\})?")
+_SEPARATED = re.compile(r"[&|;\t]|  |,\S")
+_PART = re.compile(r"[,;]\s*")
+_SENTENCE = re.compile(r"[.!?](?:\s|$)")
 _PHRASE = re.compile(r"[^\W\d_][\w'’ \\\"`^~{}-]*")
 _BROKEN = re.compile(r"Ã.|Â.|â€|�|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _NUMBER = re.compile(r"[-+±$\\pm .,\d%eE]*\d[-+±$\\pm .,\d%eE]*|--|-|n/?a|NaN|null|nan")
@@ -63,6 +68,11 @@ def body(text: str) -> str:
     return text
 
 
+def plain_accents(text: str) -> str:
+    """Letters for accented letters in markup, so that words of such texts look like words."""
+    return _ACCENT.sub(lambda m: m[1] or m[2] or m[3], text) if "\\" in text else text
+
+
 def _unreadable(line: str, tokens: list[str]) -> bool:
     """Random characters, dumps, broken encoding or one word over and over."""
     if not line.isascii() and len(_BROKEN.findall(line)) > 0.03 * len(line):
@@ -79,20 +89,26 @@ def _unreadable(line: str, tokens: list[str]) -> bool:
 
 
 def _row(line: str) -> bool:
-    """Cells of numbers and short phrases, parted as in an exported table."""
-    if len(_DENSE.findall(line)) < 2:
+    """Cells of numbers and short phrases, parted as in an exported table: no blank behind a separator."""
+    dense = len(_DENSE.findall(line))
+    if dense < 2:
         return False
     cells = [c for c in _CELLS.split(line.strip().rstrip("\\").strip()) if c]
     numbers = sum(map(bool, map(_NUMBER.fullmatch, cells)))
-    return len(cells) >= 3 and numbers >= 1 and numbers + sum(map(bool, map(_PHRASE.fullmatch, cells))) >= 0.9 * len(cells)
+    return len(cells) >= 3 and (numbers >= 1 or dense >= 3 or len(cells) == dense + 1 >= 3) and numbers + sum(map(bool, map(_PHRASE.fullmatch, cells))) >= 0.9 * len(cells)
+
+
+def _enumerates(line: str, words: int) -> bool:
+    """Short phrases in a row without sentences: more than 40 words a sentence, at most 7 a phrase."""
+    parts = line.count(", ") + line.count("; ")
+    return parts >= 5 and words <= 7 * (parts + 1) and words > 40 * len(_SENTENCE.findall(line))
 
 
 def line_kinds(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, words, characters) of every line of the body; kind is prose, list, table or junk."""
     inside: list[str] = []
     seen: Counter[str] = Counter()
-    for raw in body(text).split("\n"):
-        line = raw
+    for line in plain_accents(body(text)).split("\n"):
         if "%" in line:
             line = _COMMENT.sub("", line)
         if "\\begin{" in line or "\\end{" in line:
@@ -105,7 +121,8 @@ def line_kinds(text: str) -> Iterator[tuple[str, int, int]]:
         if not line.strip() or _HEAD.match(line) and "&" not in line:
             continue
         env = next((e for e in reversed(inside) if e), "")
-        bare = _COMMAND.sub(" ", line) if env != _CODE else line
+        markup = "\\" in line or "$" in line or "{" in line or "}" in line or "~" in line
+        bare = _COMMAND.sub(" ", line) if markup and env != _CODE else line
         tokens = bare.split()
         if not tokens:
             continue
@@ -113,17 +130,27 @@ def line_kinds(text: str) -> Iterator[tuple[str, int, int]]:
         if env == _MATH:
             yield "prose", words, chars
             continue
-        common = sum(map(COMMON.__contains__, bare.lower().translate(_PUNCTUATION).split()))
         seen[bare] += 1
+        if seen[bare] > 3 and env != _TABLE:  # the same words over and over
+            yield "junk", words, chars
+            continue
+        common = sum(map(COMMON.__contains__, bare.lower().split()))
+        if words >= 12 and not env and common >= 0.12 * words and line.isascii() and line.count(",") < 5 and not _SEPARATED.search(line) and len(set(tokens)) >= 0.3 * words:
+            yield "prose", words, chars  # what most lines are; nothing below would say otherwise
+            continue
         bullet = _BULLET.match(line)
         if env == _TABLE or line.count("&") >= 2 or _row(line):
             yield "table", words, chars
             continue
         if common >= 0.12 * words and words >= 4 and not (words < 12 and (bullet or env == _LIST) and line.rstrip()[-1] not in ".!?"):
-            if seen[bare] > 3 or words > 20 and len(set(tokens)) < 0.3 * words or not line.isascii() and len(_BROKEN.findall(line)) > 0.03 * len(line):
+            if not line.isascii() and len(_BROKEN.findall(line)) > 0.03 * len(line):
+                yield "junk", words, chars
+            elif words > 12 and (_enumerates(line, words) or (parts := line.count(",") + line.count(";")) >= 8 and words <= 4 * parts):
+                # many short phrases in a row: a list, unless they are the same ones
+                phrases = _PART.split(bare)
+                yield "list" if len(set(phrases)) >= 0.3 * len(phrases) else "junk", words, chars
+            elif words > 20 and len(set(tokens)) < 0.3 * words:
                 yield "junk", words, chars
-            elif words > 12 and (parts := line.count(",") + line.count(";")) >= 8 and words <= 4 * parts:
-                yield "list", words, chars  # many short phrases in a row
             else:
                 yield "prose", words, chars
             continue
@@ -177,18 +204,31 @@ def general(text: str) -> list[float]:
     ]
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        a, c = list(zip(*map(general, texts), strict=True)) or [()] * len(FIELDS), list(zip(*map(shares, texts), strict=True)) or [()] * len(SHARES)
-        yield pa.record_batch([b.column(0), *(pa.array(x, pa.float64()) for x in a), *(pa.array(x, pa.int64()) for x in c)], ["key", *FIELDS, *SHARES])
+def _measure(fields: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            columns = [b.column(0)]
+            if fields[0] == FIELDS[0]:
+                columns += [pa.array(x, pa.float64()) for x in list(zip(*map(general, texts), strict=True)) or [()] * len(FIELDS)]
+            columns += [pa.array(x, pa.int64()) for x in list(zip(*map(shares, texts), strict=True)) or [()] * len(SHARES)]
+            yield pa.record_batch(columns, ["key", *fields])
+
+    return run
+
 
+def statistics(df: DataFrame, key: str, text: str, whole: bool = True) -> DataFrame:
+    """Statistics of every row's text: (key, FIELDS..., SHARES...); of null and empty texts all are 0.
 
-def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Statistics of every row's text: (key, FIELDS..., SHARES...); of null and empty texts all are 0."""
+    Without ``whole`` only those of the body's lines: (key, SHARES...).
+    """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = StructType([StructField("key", rows.schema["key"].dataType), *(StructField(n, DoubleType()) for n in FIELDS), *(StructField(n, LongType()) for n in SHARES)])
-    return rows.mapInArrow(_measure, schema).withColumnRenamed("key", key)
+    fields = (*FIELDS, *SHARES) if whole else tuple(SHARES)
+    schema = StructType([StructField("key", rows.schema["key"].dataType), *(StructField(n, DoubleType() if n in FIELDS else LongType()) for n in fields)])
+    return rows.mapInArrow(_measure(fields), schema).withColumnRenamed("key", key)
+
+
+_NO_PROSE = "body_words > 2 * prose_words and body_chars > 2 * prose_chars"
 
 
 def reasons() -> Column:
@@ -204,7 +244,7 @@ def reasons() -> Column:
         "letterless_words": c("letter_words") < 0.8,
         "common_words": c("common_share") * c("words") < 2,
         "repeated_lines": c("repeated_lines") > 0.3,
-        "body_no_prose": (c("body_words") > 2 * c("prose_words")) & (c("body_chars") > 2 * c("prose_chars")),
+        "body_no_prose": F.expr(_NO_PROSE),
     }
     return F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
 
@@ -215,7 +255,7 @@ def no_prose(df: DataFrame, key: str, text: str, least_chars: int = 100) -> Data
     ``kind`` is the class with the most characters: list, table or junk. Null, empty and blank texts are no
     case, nor are bodies of fewer than ``least_chars`` characters. Repeated rows give one row each.
     """
-    s = statistics(df, key, text)
+    s = statistics(df, key, text, whole=False)
     most = F.greatest("list_chars", "table_chars", "junk_chars")
     kind = F.when(F.col("junk_chars") == most, "junk").when(F.col("table_chars") == most, "table").otherwise("list")
-    return s.where((F.col("body_chars") >= least_chars) & F.array_contains(reasons(), "body_no_prose")).select(key, kind.alias("kind"))
+    return s.where((F.col("body_chars") >= least_chars) & F.expr(_NO_PROSE)).select(key, kind.alias("kind"))

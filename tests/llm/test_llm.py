@@ -397,3 +397,16 @@ def test_match_with_equal_reference_records(spark):
     ref = spark.createDataFrame([(f"S1-{i}", *row) for i in range(4)], schema)
     found = matching.match(ref, spark.createDataFrame([("S2-1", *row)], schema), "entity_id", "n", "a", "country").collect()
     assert [(r.reference, r.pool) for r in found] == [("S1-0", "S2-1")] and 0 < found[0].confidence <= 0.25
+
+
+# ------------------------------------------------------------------ 9: kinds of lines
+
+
+def test_kinds_of_documents(spark):
+    docs = {
+        1: "\\noindent " + ", ".join(f"how the part {i} explains it" for i in range(60)) + ".", 2: "".join(f"valve{i};on the upper shelf {i};how the box holds it;spare\n" for i in range(30)), 3: "null\n" * 200,
+        4: "".join(f"-- h\\'et\\'erog\\`ene mod\\`ele r\\'egl\\'e num {'abcdefghij'[i % 10]}{'klmnop'[i % 6]}x\n" for i in range(30)), 5: "In this part, as in the first, we show, for all of the cases, that the results hold, and that they are the same. " * 1 + "We show that it is so in the other case as well.",
+        6: ", ".join(["the same thing here"] * 80), 7: "Ã©Ã¨ Ã  Ã´tre dans lÃ©tat de la rÃ©gion et les Ã©coles dÃ©partementales " * 10,
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r.kind for r in quality.no_prose(df, "doc_id", "text").collect()} == {1: "list", 2: "table", 3: "junk", 4: "list", 6: "junk", 7: "junk"}
