@@ -36,6 +36,9 @@ WEIGHTS = (-9.0, 11.0, 1.0, 0.5, -5.0, -4.0, 2.5, -1.0, -6.0, 0.0)
 NAMES = ("name", "line_same", "line_open", "line_other", "first_other", "place_same", "place_open", "place_other", "place_near")
 
 _FORMER = re.compile(TRADE_NAME, re.I)
+#: Pairs at different doors are compared if they have this share of the shorter name's letter pairs in common; 0 compares all.
+SHARE = 2 / 3
+
 _WEB = re.compile(r"^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:com|net|org|co\.in|in|co|fr|biz|info|us)/?$", re.I)
 _VOWELS = re.compile(r"[aeiouyh]+")
 
@@ -173,33 +176,38 @@ def members(r: DataFrame, readings: DataFrame, source: int, name: str) -> DataFr
 
 
 def sort_keys(r: DataFrame) -> DataFrame:
-    """Rows (key, source, row, bits, door) for all passes; a pass whose fields are empty has no row of the record."""
+    """Rows (head, key, source, row, bits, door) for all passes; a pass whose fields are empty has no row of the record.
+
+    The head is a number made of the pass, the country's hash and the first five bytes of the key, in the
+    order of the key: most comparisons of the sort end with it.
+    """
     words = F.array_join(F.array_sort("words"), " ")
     run, back = F.array_join("words", ""), F.array_join(F.reverse("words"), "")
     place = F.concat_ws("|", "town", "street", "number", "direction")
     bones = F.regexp_replace(F.regexp_replace(F.array_join(F.array_sort(F.transform("words", lambda w: F.regexp_replace(F.regexp_replace(w, "[aeiouyh]", ""), r"(.)\1+", "$1"))), " "), "ks", "x"), "w", "v")
     some, placed = F.size("words") > 0, F.col("number") != ""
+    bar = F.lit("|")
     keys = [
-        (placed, F.concat(F.lit("1|"), "country", F.lit("|"), place, F.lit("|"), words)),
-        (some, F.concat(F.lit("2|"), "country", F.lit("|"), words, F.lit("|"), "first", F.lit("|"), place)),
-        (some, F.concat(F.lit("3|"), "country", F.lit("|"), run, F.lit("|"), "first", F.lit("|"), place)),
-        (some & (F.col("source") == 0) & (F.size("words") > 1), F.concat(F.lit("3|"), "country", F.lit("|"), back, F.lit("|"), "first", F.lit("|"), place)),
-        (some, F.concat(F.lit("4|"), "country", F.lit("|"), F.reverse(words), F.lit("|"), place)),
-        (some, F.concat(F.lit("5|"), "country", F.lit("|"), bones, F.lit("|"), place)),
+        (1, placed, F.concat(place, bar, words)), (2, some, F.concat(words, bar, "first", bar, place)), (3, some, F.concat(run, bar, "first", bar, place)),
+        (3, some & (F.col("source") == 0) & (F.size("words") > 1), F.concat(back, bar, "first", bar, place)), (4, some, F.concat(F.reverse(words), bar, place)), (5, some, F.concat(bones, bar, place)),
     ]
-    made = F.filter(F.array(*[F.when(c, k) for c, k in keys]), lambda x: x.isNotNull())
+    made = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("pass"), k.alias("key"))) for n, c, k in keys]), lambda x: x.isNotNull())
     door = F.when(placed, F.xxhash64("country", "town", "street", "number"))
-    return r.select(F.explode(made).alias("key"), "source", "row", "bits", door.alias("door"))
+    out = r.select(F.explode(made).alias("k"), F.pmod(F.xxhash64("country"), F.lit(1 << 16)).alias("land"), "country", "source", "row", "bits", door.alias("door"))
+    begin = F.conv(F.rpad(F.hex(F.substring(F.encode("k.key", "utf-8"), 1, 5)), 10, "0"), 16, 10).cast("long")
+    return out.select((F.col("k.pass") * (1 << 56) + F.col("land") * (1 << 40) + begin).alias("head"), F.concat("country", bar, "k.key").alias("key"), "source", "row", "bits", "door")
 
 
-def _near(bits_a: np.ndarray, bits_b: np.ndarray, door_a: np.ndarray, door_b: np.ndarray) -> np.ndarray:
-    """Whether two records may match: at one door, or with two thirds of the letter pairs of the shorter name in common."""
+def _near(bits_a: np.ndarray, bits_b: np.ndarray, door_a: np.ndarray, door_b: np.ndarray, share: float) -> np.ndarray:
+    """Whether two records may match: at one door, or with this share of the letter pairs of the shorter name in common."""
+    if share <= 0:
+        return np.ones(len(bits_a), bool)
     common = np.bitwise_count(bits_a & bits_b).astype(np.int32)
     least = np.minimum(np.bitwise_count(bits_a), np.bitwise_count(bits_b)).astype(np.int32)
-    return ((door_a == door_b) & (door_a != 0)) | ((least > 0) & (3 * common >= 2 * least))
+    return ((door_a == door_b) & (door_a != 0)) | ((least > 0) & (common >= share * least))
 
 
-def _slide(window: int):
+def _slide(window: int, share: float):
     names = ("kind", "reference", "pool", "source", "bits", "door", "part", "at")
 
     def batch(kind: int, *columns) -> pa.RecordBatch:
@@ -225,7 +233,7 @@ def _slide(window: int):
                 differ = source[:-step] != source[step:]
                 differ[: max(0, old - step)] = False  # both held over from before: compared already
                 at = np.flatnonzero(differ)
-                at = at[_near(bits[at], bits[at + step], door[at], door[at + step])]
+                at = at[_near(bits[at], bits[at + step], door[at], door[at + step], share)]
                 first = source[at] == 0
                 if len(at):
                     yield batch(0, np.where(first, row[at], row[at + step]), np.where(first, row[at + step], row[at]), 0, 0, 0, part, 0)
@@ -236,26 +244,40 @@ def _slide(window: int):
             yield batch(1, row, row, source, bits, door, part, np.arange(1, len(row) + 1))
             source, row, bits, door = held
             yield batch(2, row, row, source, bits, door, part + 1, np.arange(len(row) - 1, -1, -1))
+            one = np.zeros(1, np.int64)
+            yield batch(3, one, one + seen, 0, 0, 0, part, 0)
 
     return run
 
 
-def neighbours(rows: DataFrame, window: int) -> DataFrame:
-    """Distinct (reference, pool) rows that lie at most ``window`` places apart in the order of the keys and may match."""
-    spark = rows.sparkSession
+def neighbours(rows: DataFrame, window: int, share: float = SHARE, part_rows: int = 250_000) -> DataFrame:
+    """Distinct (reference, pool) rows that lie at most ``window`` places apart in the order of the keys and may match.
+
+    ``share`` is that of ``_near``; 0 keeps every pair. Partitions of the order hold about ``part_rows`` rows.
+    """
+    order = [c for c in ("head", "key", "source", "row") if c in rows.columns]
     total = rows.count()
     # partitions much larger than a window, so that a window meets one seam at most
-    parts = int(max(1, min(spread(spark), total // (50 * window))))
-    ordered = rows.select("key", "source", "row", "bits", "door").repartitionByRange(parts, "key", "source", "row").sortWithinPartitions("key", "source", "row")
-    made = materialize(ordered.mapInArrow(_slide(window), "kind int, reference long, pool long, source int, bits long, door long, part int, at int"), "windows")
+    parts = int(max(1, min(max(spread(rows.sparkSession), total // part_rows), total // (50 * window))))
+    while True:
+        ordered = rows.select(*order, "bits", "door").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        ordered = ordered.select("key", "source", "row", "bits", "door")
+        made = materialize(ordered.mapInArrow(_slide(window, share), "kind int, reference long, pool long, source int, bits long, door long, part int, at int"), "windows")
+        full = made.where((F.col("kind") == 3) & (F.col("pool") >= window)).count()
+        if parts == 1 or full == parts:
+            break
+        # the range was cut unevenly: with fewer parts none is narrower than a window
+        discard(made)
+        parts = max(1, parts // 4)
 
     def seam(kind: int, tag: str) -> DataFrame:
         return made.where(F.col("kind") == kind).select("part", *[F.col(c).alias(f"{c}_{tag}") for c in ("pool", "source", "bits", "door", "at")])
 
     c = F.col
     both = seam(2, "x").join(seam(1, "y"), "part").where((c("at_x") + c("at_y") <= window) & (c("source_x") != c("source_y")))
-    common = 3 * F.bit_count(c("bits_x").bitwiseAND(c("bits_y"))) >= 2 * F.least(F.bit_count("bits_x"), F.bit_count("bits_y"))
-    both = both.where(((c("door_x") == c("door_y")) & (c("door_x") != 0)) | (common & (c("bits_x") != 0) & (c("bits_y") != 0)))
+    if share > 0:
+        common = F.bit_count(c("bits_x").bitwiseAND(c("bits_y"))) >= share * F.least(F.bit_count("bits_x"), F.bit_count("bits_y"))
+        both = both.where(((c("door_x") == c("door_y")) & (c("door_x") != 0)) | (common & (c("bits_x") != 0) & (c("bits_y") != 0)))
     first = c("source_x") == 0
     both = both.select(F.when(first, c("pool_x")).otherwise(c("pool_y")).alias("reference"), F.when(first, c("pool_y")).otherwise(c("pool_x")).alias("pool"))
     out = materialize(made.where("kind = 0").select("reference", "pool").unionByName(both).distinct(), "pairs")
@@ -278,9 +300,9 @@ def equal_readings(readings: DataFrame) -> DataFrame:
     return meet(True, True, ["town", "street", "direction", "number"]).unionByName(meet(False, None, named)).unionByName(meet(True, False, named))
 
 
-def scored_readings(readings: DataFrame, window: int, weights: tuple[float, ...]) -> DataFrame:
+def scored_readings(readings: DataFrame, window: int, weights: tuple[float, ...], share: float = SHARE) -> DataFrame:
     """Compared pairs of readings: (reference, pool, least_id, copies, confidence, NAMES...); id and number of the reference's records."""
-    near = neighbours(sort_keys(readings), window)
+    near = neighbours(sort_keys(readings), window, share)
     pairs = near.unionByName(equal_readings(readings)).distinct()
     words = F.col("words")
     sides = readings.select("source", "row", "id", "copies", "country", "line", "first", "number", "town", "street", "direction", "type", F.array_join(F.array_sort(words), "").alias("sorted"), F.array_join(words, "").alias("run"), F.array_join(F.reverse(words), "").alias("back"))
@@ -296,17 +318,17 @@ def scored_readings(readings: DataFrame, window: int, weights: tuple[float, ...]
     return wide.withColumn("confidence", 1 / (1 + F.exp(-total)))
 
 
-def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def scored_pairs(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """Compared pairs: (reference, pool, confidence, NAMES...)."""
     r = records(reference, pool, key, name, address, country)
     readings = distinct_readings(r)
-    pairs = scored_readings(readings, window, weights)
+    pairs = scored_readings(readings, window, weights, share)
     for source, side in enumerate(("reference", "pool")):
         pairs = pairs.join(members(r, readings, source, side), side).drop(side).withColumnRenamed("id", side)
     return pairs.select("reference", "pool", *NAMES, "confidence")
 
 
-def match(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS, least: float = 0.35) -> DataFrame:
+def match(reference: DataFrame, pool: DataFrame, key: str, name: str, address: str, country: str, window: int = 10, weights: tuple[float, ...] = WEIGHTS, least: float = 0.35, share: float = SHARE) -> DataFrame:
     """(reference, pool, confidence): each pool record with its reference record, if any is confident enough.
 
     Keys count once however often they were delivered; null keys are left out. Null, empty and placeholder
@@ -316,8 +338,35 @@ def match(reference: DataFrame, pool: DataFrame, key: str, name: str, address: s
     """
     r = records(reference, pool, key, name, address, country)
     readings = distinct_readings(r)
-    pairs = scored_readings(readings, window, weights).select("pool", "least_id", "copies", F.round("confidence", 9).alias("confidence"))
+    pairs = scored_readings(readings, window, weights, share).select("pool", "least_id", "copies", F.round("confidence", 9).alias("confidence"))
     w = Window.partitionBy("pool")
     best = pairs.withColumn("top", F.max("confidence").over(w)).where("confidence = top").groupBy("pool").agg(F.min("least_id").alias("reference"), (F.max("confidence") / F.sum("copies")).alias("confidence"), F.max("confidence").alias("undivided"))
     best = best.where(F.col("undivided") >= least)
     return best.join(members(r, readings, 1, "pool"), "pool").select("reference", F.col("id").alias("pool"), "confidence")
+
+
+def assign_one_to_one(pairs: DataFrame, step: float = 0.01, least: float = 0.0, rounds: int = 1000) -> DataFrame:
+    """(reference, pool, confidence): each record of either side at most once, with the greatest total confidence.
+
+    For sources that hold each entity once. An auction: every pool record without a partner bids for the
+    reference record that is worth most to it, the highest bid wins and sets the price, until nobody wants to
+    bid. The total is at most ``step`` a pool record below the greatest one. Each round is a few aggregations;
+    an auction that isn't over after ``rounds`` raises. Null confidences and those below ``least`` are no pairs;
+    of repeated pairs the highest counts.
+    """
+    pairs = materialize(pairs.where(F.col("confidence") >= least).groupBy("reference", "pool").agg(F.max("confidence").alias("confidence")), "auction-pairs")
+    spark = pairs.sparkSession
+    owned = spark.createDataFrame([], pairs.select("reference", "pool").schema).withColumn("price", F.lit(0.0))
+    for _ in range(rounds):
+        idle = pairs.join(owned.select("pool"), "pool", "left_anti").join(owned.select("reference", "price"), "reference", "left")
+        worth = idle.select("reference", "pool", (F.col("confidence") - F.coalesce("price", F.lit(0.0))).alias("worth"), F.coalesce("price", F.lit(0.0)).alias("price")).where("worth > 0")
+        w = Window.partitionBy("pool").orderBy(F.desc("worth"), "reference")
+        best = worth.withColumn("next", F.lead("worth", 1, 0.0).over(w)).withColumn("place", F.row_number().over(w)).where("place = 1")
+        bids = best.select("reference", "pool", (F.col("price") + F.col("worth") - F.greatest("next", F.lit(0.0)) + step).alias("price"))
+        won = bids.groupBy("reference").agg(F.max(F.struct("price", "pool")).alias("x")).select("reference", "x.pool", "x.price")
+        won = materialize(won, "auction-bids")
+        if won.isEmpty():
+            return pairs.join(owned.select("reference", "pool"), ["reference", "pool"])
+        before, owned = owned, materialize(owned.join(won, "reference", "left_anti").unionByName(won), "auction")
+        discard(won, *([before] if hasattr(before, "_ligature_path") else []))
+    raise RuntimeError(f"the auction isn't over after {rounds} rounds")

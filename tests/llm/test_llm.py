@@ -410,3 +410,27 @@ def test_kinds_of_documents(spark):
     }
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {r.doc_id: r.kind for r in quality.no_prose(df, "doc_id", "text").collect()} == {1: "list", 2: "table", 3: "junk", 4: "list", 6: "junk", 7: "junk"}
+
+
+# ------------------------------------------------------------------ 3: assignment, windows without a filter
+
+
+def test_one_to_one_assignment_against_all_choices(spark):
+    import itertools
+
+    rng = random.Random(9)
+    rows = [(f"r{i}", f"p{j}", round(rng.random(), 2)) for i in range(4) for j in range(4) if rng.random() < 0.8] + [("r0", "p0", 0.1), ("r9", "p9", None)]
+    worth = {}
+    for r, p, c in rows:
+        if c is not None:
+            worth[r, p] = max(c, worth.get((r, p), 0))
+    most = max(sum(worth.get((f"r{i}", f"p{j}"), 0) for i, j in enumerate(order)) for order in itertools.permutations(range(4)))
+    got = matching.assign_one_to_one(spark.createDataFrame(rows, "reference string, pool string, confidence double"), step=0.02).collect()
+    assert len({r.reference for r in got}) == len({r.pool for r in got}) == len(got) and sum(r.confidence for r in got) >= most - 0.09
+    assert matching.assign_one_to_one(spark.createDataFrame([], "reference string, pool string, confidence double")).count() == 0
+
+
+def test_windows_without_a_filter(spark):
+    rows = [(f"{i:05d}", i % 2, i, 1 << (i % 60), None) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, source int, row long, bits long, door long")
+    assert matching.neighbours(df, 2, share=0).count() == 399 and matching.neighbours(df, 2).count() == 0
