@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ligature.functions.indic import has_indic, romanise
 from ligature.functions.text import TRADE_NAME
 from ligature.llm.gazetteer import resolve
-from ligature.llm.names import LEGAL, LINES, LINES_OF_BUSINESS, Lines, damerau, line_usage, read_name
+from ligature.llm.names import LEGAL, LINES, LINES_OF_BUSINESS, Lines, damerau, deletions, line_usage, meeting, read_name
 from ligature.workspace import discard, materialize, scatter, spread
 
 #: Weights of the field similarities, see ``similarities``; the first is the constant.
@@ -58,6 +58,7 @@ class Spoken:
     def __init__(self, used: dict[str, int]) -> None:
         self.known = {skeleton(w): LINES[w] for w in sorted(LINES_OF_BUSINESS) if LINES[w] in used and len(skeleton(w)) >= 3}
         self.known.update({skeleton(w): "" for w in sorted(LEGAL) if len(w) >= 5})
+        self.meeting = meeting(k for k in self.known if len(k) >= 4)
         self.seen: dict[str, str | None] = {}
 
     def __call__(self, word: str) -> str | None:
@@ -66,7 +67,7 @@ class Spoken:
             if len(self.seen) >= 50_000:
                 self.seen.clear()
             s = skeleton(word)
-            near = [s] if s in self.known else [k for k in self.known if len(s) >= 5 and len(k) >= 4 and damerau(s, k, 1) <= 1]
+            near = [s] if s in self.known else sorted({k for x in deletions(s) for k in self.meeting.get(x, ()) if damerau(s, k, 1) <= 1}) if len(s) >= 5 else []
             self.seen[word] = self.known[near[0]] if near else None
         return self.seen[word]
 

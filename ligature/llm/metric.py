@@ -145,9 +145,10 @@ def radius_pairs(words: DataFrame, scope: str, word: str, radius: int = 1, most_
     meet = lambda keys: F.explode(F.transform(keys, lambda k: F.xxhash64("scope", "cell", k)))
     a = placed.where(F.size("asked") > 0).select(F.col("at").alias("a"), meet("asked").alias("key"))
     b = placed.select(F.col("at").alias("b"), meet("found").alias("key"))
-    met = a.join(b, "key").where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # what is exploded looks small before it is; so no side is ever broadcast
+    met = a.join(b.hint("merge"), "key").where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     named = rows.select(F.xxhash64("scope", "word").alias("at"), "scope", "word")
-    near = met.join(named.select(F.col("at").alias("a"), "scope", F.col("word").alias("x")), "a").join(named.select(F.col("at").alias("b"), F.col("scope").alias("scope_b"), F.col("word").alias("y")), "b")
+    near = met.join(named.select(F.col("at").alias("a"), "scope", F.col("word").alias("x")).hint("merge"), "a").join(named.select(F.col("at").alias("b"), F.col("scope").alias("scope_b"), F.col("word").alias("y")).hint("merge"), "b")
     near = near.where((F.col("scope") == F.col("scope_b")) & (F.col("x") != F.col("y")))
     # a swap counts twice in the plain distance, which the JVM computes; the metric itself decides on the rest
     near = near.where(F.levenshtein("x", "y", 2 * radius) >= 0).select("scope", F.least("x", "y").alias("word_a"), F.greatest("x", "y").alias("word_b")).distinct()

@@ -100,7 +100,7 @@ def damerau(a: str, b: str, most: int | None = None) -> int:
     return d[-1][-1]
 
 
-def _deletions(word: str) -> set[str]:
+def deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
@@ -109,10 +109,10 @@ def may_be_typo(a: str, b: str) -> bool:
     return max(len(a), len(b)) >= 4 and damerau(a, b, 1) <= 1
 
 
-def _meeting(words) -> dict[str, list[str]]:
+def meeting(words) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for word in words:
-        for x in _deletions(word):
+        for x in deletions(word):
             out.setdefault(x, []).append(word)
     return out
 
@@ -120,7 +120,7 @@ def _meeting(words) -> dict[str, list[str]]:
 @lru_cache(1)
 def _near_lines() -> dict[str, list[str]]:
     # words of a list are taken with a typo from five letters on: shorter ones are near too many proper words
-    return _meeting(w for w in {*LINES, *LEGAL} if len(w) >= 5)
+    return meeting(w for w in {*LINES, *LEGAL} if len(w) >= 5)
 
 
 @lru_cache(1)
@@ -173,11 +173,11 @@ class Lines:
         if word in LINES:
             return LINES[word]
         if len(word) >= 5:
-            near = [known for x in _deletions(word) for known in _near_lines().get(x, ()) if damerau(word, known, 1) <= 1 and known != word + "y"]  # a baker is no bakery
+            near = [known for x in deletions(word) for known in _near_lines().get(x, ()) if damerau(word, known, 1) <= 1 and known != word + "y"]  # a baker is no bakery
             if near:
                 return LINES.get(min(near, key=lambda w: (-self.used.get(LINES.get(w, ""), 0), w)), "")
         some = _lines_by_letter().get(word[:1], ())
-        short = [w for w in some if abbreviates(word, w)] or [w for w in some if len(word) >= 5 and _CLIPPED.search(word) and any(abbreviates(x, w) for x in _deletions(word))]
+        short = [w for w in some if abbreviates(word, w)] or [w for w in some if 5 <= len(word) < len(w) and _CLIPPED.search(word) and any(abbreviates(x, w) for x in deletions(word))]
         return LINES[min(short, key=lambda w: (-self.used.get(LINES[w], 0), not w.startswith(word), w[-1] != word[-1], len(w), w))] if short else None
 
 

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 from ligature.functions.indic import has_indic, romanise
 from ligature.functions.text import ADDRESS_WORDS
-from ligature.llm.names import _deletions, damerau, fold
+from ligature.llm.names import deletions, damerau, fold
 
 # Words of addresses and what they stand for. Street types stand behind the street, or before it in the countries named.
 _BEHIND = {
@@ -51,6 +51,11 @@ def type_words(country: str) -> dict[str, str]:
     return {**{a: full for a, full in ADDRESS_WORDS.items() if full in out}, **out}
 
 
+@lru_cache(64)
+def _long_types(country: str) -> frozenset:
+    return frozenset(x for x in type_words(country) if len(x) >= 4)
+
+
 @lru_cache(64)
 def _state_phrases(country: str) -> dict[str, list[tuple[int, list[str], bool]]]:
     """States by their first word: (place in the order, words, whether it is a short form); the longest come first."""
@@ -71,7 +76,7 @@ def _near_words(group: frozenset, least: int) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for word in group:
         if len(word) >= least:
-            for x in _deletions(word):
+            for x in deletions(word):
                 out.setdefault(x, []).append(word)
     return out
 
@@ -82,7 +87,7 @@ def one_of(word: str, group: frozenset, least: int = 5) -> str | None:
     if word in group:
         return word
     if len(word) >= least:
-        for x in _deletions(word):
+        for x in deletions(word):
             for known in _near_words(group, least).get(x, ()):
                 if damerau(word, known, 1) <= 1:
                     return known
@@ -118,7 +123,7 @@ class _Words:
         self.t, self.country, self.used, self.unit = toks, country, [t == "," for t in toks], ""
         self.kinds = type_words(country)
         self.before = country.lower() in BEFORE_COUNTRIES
-        self.long_kinds = frozenset(x for x in self.kinds if len(x) >= 4)
+        self.long_kinds = _long_types(country)
 
     def free(self, i: int) -> bool:
         return 0 <= i < len(self.t) and not self.used[i]

@@ -57,27 +57,28 @@ def linked_names(cores: DataFrame, times: int = 8) -> DataFrame:
     parts = cores.select("country", "core", "words", F.explode("words").alias("word"))
     uses = materialize(parts.groupBy("country", "word").agg(F.count("*").alias("uses")), "proper-words")
     near = radius_pairs(uses, "country", "word", RADIUS).where(F.col("distance") * LETTERS <= F.greatest(F.length("word_a"), F.length("word_b")))
-    n = lambda w, u: uses.select("country", F.col("word").alias(w), F.col("uses").alias(u))
+    # sizes are guessed from files before anything is joined: merge joins hold at any size
+    n = lambda w, u: uses.select("country", F.col("word").alias(w), F.col("uses").alias(u)).hint("merge")
     near = near.join(n("word_a", "n_a"), ["country", "word_a"]).join(n("word_b", "n_b"), ["country", "word_b"])
     up = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("word_a") > F.col("word_b")))
     rarer, commoner = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     sure = ((rarer == 1) | (commoner >= times * rarer)).alias("sure")
     near = materialize(near.select("country", F.when(up, F.col("word_a")).otherwise(F.col("word_b")).alias("word"), F.when(up, F.col("word_b")).otherwise(F.col("word_a")).alias("meant"), "distance", sure), "near-words")
     # one step: the name with one word replaced by a commoner one
-    step = parts.join(near, ["country", "word"]).where(F.col("sure") | (F.size("words") > 1))
+    step = parts.join(near.hint("merge"), ["country", "word"]).where(F.col("sure") | (F.size("words") > 1))
     step = step.select("country", "core", "words", "meant", "distance", _replaced(F.col("words"), F.col("word"), F.col("meant")).alias("changed"))
     step = materialize(step.where(F.size("changed") == F.size("words")).withColumn("target", _core(F.col("changed"))), "steps")
-    known = cores.select("country", F.col("core").alias("target"))
+    known = cores.select("country", F.col("core").alias("target")).hint("merge")
     direct = step.select("country", "core", "target").join(known, ["country", "target"]).select("country", F.col("core").alias("x"), F.col("target").alias("y"))
     # two names one step from the same one: from a name that occurs, or by one edit each in different words
     ones = step.where("distance = 1")
-    met = step.join(known.withColumn("known", F.lit(True)), ["country", "target"], "left").where("known or distance = 1")
+    met = step.join(known.withColumn("known", F.lit(True)).hint("merge"), ["country", "target"], "left").where("known or distance = 1")
     a = met.select("country", "target", F.col("core").alias("x"), F.col("meant").alias("m"), F.col("distance").alias("c"), "known")
     b = met.select("country", "target", F.col("core").alias("y"), F.col("meant").alias("k"), F.col("distance").alias("d"))
-    apart = a.join(b, ["country", "target"]).where("x < y and (known or c = 1 and d = 1 and m <> k)").select("country", "x", "y")
+    apart = a.join(b.hint("merge"), ["country", "target"]).where("x < y and (known or c = 1 and d = 1 and m <> k)").select("country", "x", "y")
     # two steps in a row, by different words
     again = ones.select("country", "core", "meant", "changed", F.explode("changed").alias("word")).where("word <> meant")
-    again = again.join(near.where("distance = 1").select("country", "word", F.col("meant").alias("second")), ["country", "word"])
+    again = again.join(near.where("distance = 1").select("country", "word", F.col("meant").alias("second")).hint("merge"), ["country", "word"])
     again = again.select("country", F.col("core").alias("x"), F.size("changed").alias("size"), _replaced(F.col("changed"), F.col("word"), F.col("second")).alias("words"))
     again = again.where(F.size("words") == F.col("size")).select("country", "x", _core(F.col("words")).alias("target")).join(known, ["country", "target"]).select("country", "x", F.col("target").alias("y"))
     every = direct.unionByName(apart).unionByName(again).where("x <> y")
@@ -112,12 +113,12 @@ def name_pairs(df: DataFrame, key: str, name: str, country: str) -> DataFrame:
     x = readings.select("country", F.col("core").alias("a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"), F.col("reading").alias("i"))
     y = readings.select("country", F.col("core").alias("b"), F.col("first").alias("first_b"), F.col("line").alias("line_b"), F.col("reading").alias("j"))
     # equal lines meet on the line as well; a name without a line meets all names of its words
-    from_x = both.join(x, ["country", "a"])
-    same = from_x.withColumn("line_b", F.col("line_a")).join(y, ["country", "b", "line_b"]).where(_fits() & (F.col("i") <= F.col("j"))).select("i", "j")
-    open_ = from_x.where("line_a = ''").join(y.where("line_b <> ''"), ["country", "b"]).where(_fits()).select("i", "j")
+    from_x = both.join(x.hint("merge"), ["country", "a"])
+    same = from_x.withColumn("line_b", F.col("line_a")).join(y.hint("merge"), ["country", "b", "line_b"]).where(_fits() & (F.col("i") <= F.col("j"))).select("i", "j")
+    open_ = from_x.where("line_a = ''").join(y.where("line_b <> ''").hint("merge"), ["country", "b"]).where(_fits()).select("i", "j")
     linked = materialize(same.unionByName(open_), "linked-readings")
-    members = materialize(rows.join(parsed, ["country", "name"]).join(readings, reading).select("id", "reading"), "members")
+    members = materialize(rows.join(parsed.hint("merge"), ["country", "name"]).join(readings.hint("merge"), reading).select("id", "reading"), "members")
     m, o = members.select(F.col("reading").alias("i"), F.col("id").alias("p")), members.select(F.col("reading").alias("j"), F.col("id").alias("q"))
-    pairs = linked.join(m, "i").join(o, "j").where((F.col("i") != F.col("j")) | (F.col("p") < F.col("q")))
+    pairs = linked.join(m.hint("merge"), "i").join(o.hint("merge"), "j").where((F.col("i") != F.col("j")) | (F.col("p") < F.col("q")))
     discard(rows, near)
     return pairs.select(F.least("p", "q").alias("key_a"), F.greatest("p", "q").alias("key_b"))
