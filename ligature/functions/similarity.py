@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def _parts(a: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -77,11 +78,14 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
-    n, best = len(a), 0.0
-    for start in range(1 - n, len(b)):
-        best = max(best, ratio(a, b[max(0, start) : start + n]))
-        if best == 1.0:
-            break
+    # a window that begins (or, at the front, ends) with a letter the shorter text lacks is never the only best
+    n, best, letters = len(a), 0.0, set(a)
+    windows = [b[:end] for end in range(1, min(n, len(b) + 1)) if b[end - 1] in letters] + [b[i : i + n] for i, ch in enumerate(b) if ch in letters]
+    for window in windows:
+        if 2 * min(n, len(window)) > best * (n + len(window)):
+            best = max(best, ratio(a, window))
+            if best == 1.0:
+                break
     return best
 
 
@@ -106,3 +110,26 @@ def scorer(name: str):
         return pd.Series(out, dtype="float64")
 
     return run
+
+
+#: Ratios of a pair of names, their cores and their addresses, as ``all_ratios`` gives them.
+RATIOS = ("name_ratio", "name_token_sort", "name_token_set", "core_ratio", "core_joined_ratio", "core_token_set", "core_partial", "addr_ratio", "addr_token_sort", "addr_token_set")
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in RATIOS]))
+def all_ratios(name_a: pd.Series, name_b: pd.Series, core_a: pd.Series, core_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series) -> pd.DataFrame:
+    """All ratios at once; every pair of texts of a batch is compared once. Nulls give null."""
+    names, cores, addresses = {}, {}, {}
+    out = []
+    for x, y, p, q, s, t in zip(name_a, name_b, core_a, core_b, addr_a, addr_b, strict=True):
+        n = names.get((x, y))
+        if n is None:
+            n = names[x, y] = (None,) * 3 if x is None or y is None else (ratio(x, y), token_sort_ratio(x, y), token_set_ratio(x, y))
+        k = cores.get((p, q))
+        if k is None:
+            k = cores[p, q] = (None,) * 4 if p is None or q is None else (ratio(p, q), ratio(p.replace(" ", ""), q.replace(" ", "")), token_set_ratio(p, q), partial_ratio(p, q))
+        a = addresses.get((s, t))
+        if a is None:
+            a = addresses[s, t] = (None,) * 3 if s is None or t is None else (ratio(s, t), token_sort_ratio(s, t), token_set_ratio(s, t))
+        out.append((*n, *k, *a))
+    return pd.DataFrame(out, columns=list(RATIOS))

@@ -1,13 +1,19 @@
 """Candidate generation over an inverted index of rare keys.
 
-The index side of the join is bounded by ``max_df`` postings per key; keys of the query side are restricted to
-that vocabulary by a semi-join before they meet it. Skewed query keys are left to adaptive skew joins.
+The index side of the join is bounded by ``max_df`` postings per key. Keys above that are few and are dropped on both
+sides by a broadcast before anything is shuffled by key; should there be more than ``MOST_COMMON`` of them, the join
+drops them. Skewed query keys are left to adaptive skew joins.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ligature.workspace import materialize
+
+#: Keys that are broadcast at most, some dozen bytes each.
+MOST_COMMON = 200_000
+
 
 def build_index(query_keys: DataFrame, pool_keys: DataFrame, n_pool: int, max_df: int) -> DataFrame:
     """Postings (key, entity_id, idf) of pool keys that occur among the queries and in at most ``max_df`` records.
@@ -15,9 +21,15 @@ def build_index(query_keys: DataFrame, pool_keys: DataFrame, n_pool: int, max_df
     df counts distinct records; idf is ln(records of the whole pool / df).
     """
     asked = query_keys.select("key").distinct()
-    postings = pool_keys.select("key", "entity_id").join(asked, "key", "left_semi")
-    df = postings.groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
-    return postings.join(df.select("key", F.log(F.lit(float(n_pool)) / F.col("df")).alias("idf")), "key")
+    # counts come first and are combined before they move; postings of keys that are too common never do
+    df = materialize(pool_keys.groupBy("key").agg(F.count("*").alias("df")), "key-counts")
+    common = df.where(F.col("df") > max_df).select("key")
+    postings = pool_keys.select("key", "entity_id")
+    if common.limit(MOST_COMMON + 1).count() <= MOST_COMMON:
+        postings = postings.join(F.broadcast(common), "key", "left_anti")
+        asked = asked.join(F.broadcast(common), "key", "left_anti")
+    kept = df.where(F.col("df") <= max_df).join(asked, "key", "left_semi")
+    return postings.join(kept.select("key", F.log(F.lit(float(n_pool)) / F.col("df")).alias("idf")), "key")
 
 
 def shared_keys(query_keys: DataFrame, index: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ligature.sources.tables import id_list
 
@@ -40,21 +44,63 @@ def candidate_recall(truth_pairs: DataFrame, candidates: DataFrame) -> DataFrame
     return hit.agg(F.count("*").alias("true_pairs"), F.sum(F.coalesce("hit", F.lit(0))).alias("found")).withColumn("recall", F.round(F.try_divide("found", "true_pairs"), 6))
 
 
-def rank_auc(scored: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
+def rank_auc(scored: DataFrame, score: str, label: str, group: list[str] | None = None, parts: int = 32) -> DataFrame:
     """Area under the ROC curve by average ranks, for each group: (group..., positives, negatives, auc).
 
-    Counts are gathered by score first, so ties and size cost nothing; null scores are left out.
+    Counts are gathered by score first, so ties and size cost nothing. Distinct scores are cut into ``parts``
+    ranges; ranks are counted within a range and the ranges below it added, so no task sees all scores. Null
+    and NaN scores are left out.
     """
-    from pyspark.sql import Window
-
     keys = group or []
-    n = scored.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    wins = n.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    s = F.col(score).cast("double")
+    n = scored.where(F.col(score).isNotNull() & ~F.isnan(s)).groupBy(*keys, s.alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    edges = sorted(set(n.approxQuantile("s", [i / parts for i in range(1, parts)], 0.01)))
+    n = n.withColumn("part", sum(((F.col("s") >= e).cast("int") for e in edges), F.lit(0)))
+    totals = n.groupBy(*keys, "part").agg(F.sum("neg").alias("all_neg"))
+    under = F.sum("all_neg").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*keys, "part", F.coalesce(under, F.lit(0)).alias("under"))
+    below = F.sum("neg").over(Window.partitionBy(*keys, "part").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
+    wins = n.withColumn("below", below).join(totals, [*keys, "part"]).withColumn("wins", F.col("pos") * (F.col("below") + F.col("under") + F.col("neg") / 2))
     out = wins.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum("wins").alias("w"))
     return out.withColumn("auc", F.round(F.try_divide(F.col("w"), F.col("positives") * F.col("negatives")), 6)).drop("w")
 
 
+def feature_table(labelled: DataFrame, columns: list[str]) -> DataFrame:
+    """Each feature by itself: (feature, auc, direction, separation, missing_percent, mean_true, mean_false)."""
+    long = labelled.select("label", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["label"], columns, "feature", "value")
+    auc = rank_auc(long, "value", "label", ["feature"]).select("feature", "auc")
+    mean = lambda k: F.round(F.avg(F.when(F.col("label") == k, F.col("value"))), 4)
+    seen = long.groupBy("feature").agg(F.round(100 * F.avg(F.col("value").isNull().cast("int")), 4).alias("missing_percent"), mean(1).alias("mean_true"), mean(0).alias("mean_false"))
+    way = F.when(F.col("auc") >= 0.5, "higher = match").otherwise("lower = match")
+    return auc.join(seen, "feature").select("feature", "auc", way.alias("direction"), F.round(F.abs(F.col("auc") - 0.5) * 2, 6).alias("separation"), "missing_percent", "mean_true", "mean_false")
+
+
+def error_labels(pairs: DataFrame, chosen: DataFrame, truth: DataFrame) -> DataFrame:
+    """``pairs`` (s1_id, cand_id, ...) with error (FN, FP, ok, rejected) and owner of the record (this, another, nobody)."""
+    on = ["s1_id", "cand_id"]
+    owners = truth.groupBy("cand_id").agg(F.min("s1_id").alias("owner_id"))
+    x = pairs.join(chosen.select(*on, F.lit(True).alias("chosen")), on, "left").join(truth.select(*on, F.lit(True).alias("hit")), on, "left").join(owners, "cand_id", "left")
+    hit, yes = F.col("hit").isNotNull(), F.col("chosen").isNotNull()
+    error = F.when(hit & ~yes, "FN").when(~hit & yes, "FP").when(hit, "ok").otherwise("rejected")
+    owner = F.when(F.col("owner_id").isNull(), "nobody").when(F.col("owner_id") == F.col("s1_id"), "this").otherwise("another")
+    return x.withColumns({"error": error, "owner": owner}).drop("chosen", "hit", "owner_id")
+
+
+def buckets(value: Column, edges: list[float]) -> Column:
+    """Names of intervals that hold their upper edge, the first one its lower edge too; null outside."""
+    out = F.lit(None).cast("string")
+    for i in reversed(range(len(edges) - 1)):
+        low, high = edges[i], edges[i + 1]
+        inside = (value <= high) & ((value >= low) if i == 0 else (value > low))
+        out = F.when(inside, F.lit(f"{'[' if i == 0 else '('}{low}, {high}]")).otherwise(out)
+    return out
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The row of a sweep with the greatest macro F0.5; of equal ones the lowest threshold."""
+    return sweep.orderBy(F.desc("macro_f05"), "threshold").limit(1)
+
+
 def threshold_sweep(truth: DataFrame, pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, macro_f05, n_pred, n_correct) for every threshold in one job; pairs have (s1_id, cand_id, probability)."""
     entities = truth.select(F.col("source1_entity_id").alias("s1_id"), F.size(id_list("matched_entity_ids")).alias("n_true"))
@@ -66,20 +112,30 @@ def threshold_sweep(truth: DataFrame, pairs: DataFrame, thresholds: list[float])
     return every.withColumn("f", f05(F.col("n_true"), F.col("n_pred"), F.col("n_correct"))).groupBy("threshold").agg(F.round(F.avg("f"), 6).alias("macro_f05"), F.sum("n_pred").alias("n_pred"), F.sum("n_correct").alias("n_correct"))
 
 
+def _resampled(resamples: int):
+    """One row for each task: the sums of weighted differences and of weights for every round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            for h, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = np.random.Generator(np.random.Philox(key=h & (1 << 64) - 1)).poisson(1.0, resamples)
+                total += w * d
+                weight += w
+        yield pa.record_batch([pa.array([total.tolist()]), pa.array([weight.tolist()])], ["total", "weight"])
+
+    return run
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """One row: mean difference of per-entity scores b - a with a 95 % interval, and entities better, worse, equal.
 
     Resampling is by Poisson weights from a hash of entity and round, so it needs no gathering and repeats exactly.
     """
     d = a.select("source1_entity_id", F.col("f05").alias("x")).join(b.select("source1_entity_id", F.col("f05").alias("y")), "source1_entity_id").withColumn("d", F.col("y") - F.col("x"))
-    u = (F.pmod(F.xxhash64("source1_entity_id", "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, cdf, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        cdf += term
-        weight = weight + (u > cdf).cast("int")
-        term /= k
-    drawn = d.select("source1_entity_id", "d", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("round")).withColumn("w", weight)
-    means = drawn.groupBy("round").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("m"))
+    part = d.select(F.xxhash64("source1_entity_id", F.lit(seed)).alias("h"), "d").mapInArrow(_resampled(resamples), "total array<double>, weight array<double>")
+    drawn = part.select(F.posexplode(F.arrays_zip("total", "weight")).alias("round", "x")).groupBy("round").agg(F.sum("x.total").alias("t"), F.sum("x.weight").alias("w"))
+    means = drawn.select(F.try_divide("t", "w").alias("m"))
     ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.lit(1).alias("one"))
     n = d.agg(F.avg("d").alias("mean_difference"), F.sum((F.col("d") > 0).cast("int")).alias("better"), F.sum((F.col("d") < 0).cast("int")).alias("worse"), F.sum((F.col("d") == 0).cast("int")).alias("unchanged"), F.lit(1).alias("one"))
     return n.join(ci, "one").drop("one")

@@ -4,9 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ligature.functions.similarity import dice, jaccard, mean_known, overlap, scorer
+from ligature.functions.similarity import RATIOS, all_ratios, dice, jaccard, mean_known, overlap
 from ligature.functions.text import INDIC, LEGAL_CANONICAL, LEGAL_WORDS, tokens
 from ligature.operators.keys import core_words
+from ligature.operators.reverse import reverse_features
+from ligature.workspace import materialize, scatter
+
+
+#: The pair features of a model in their order: all, and those beyond the first design.
+FEATURES = (
+    "name_exact", "name_jaccard", "name_ratio", "name_token_sort", "name_token_set", "core_ratio", "core_token_set", "core_partial", "core_joined_ratio", "name_tfidf", "name_len_diff", "name_c_foreign",
+    "legal_same", "legal_conflict", "legal_one_missing", "addr_c_empty", "addr_jaccard", "addr_ratio", "addr_token_set", "addr_token_sort", "addr_tfidf", "num_shared", "num_jaccard", "num_conflict", "num_c_subset",
+    "score_all", "score_name", "score_addr", "block_rank", "block_score_rel", "n_candidates", "name_token_set_rel", "addr_token_set_rel", "is_source3",
+)
+TFIDF = ("name_tfidf", "addr_tfidf")
+EXTRA = ("name_dice", "name_overlap", "core_exact", "core_jaccard", "name_len_ratio", "addr_dice", "addr_overlap", "addr_len_ratio", "num_exact_match", "num_diff_count")
+REVERSE = ("r_rank", "r_score", "r_best_other", "r_gap")
+
+
+def feature_names(tfidf: bool = True, extra: bool = False, reverse: bool = False) -> list[str]:
+    """34 features, 32 without tf-idf, 10 more with ``extra``, 4 more with ``reverse``."""
+    return [f for f in FEATURES if tfidf or f not in TFIDF] + list(EXTRA if extra else ()) + list(REVERSE if reverse else ())
+
+
+def pair_vector(pairs: DataFrame, reference: DataFrame, pool: DataFrame, table: DataFrame | None = None, tfidf: bool = False) -> DataFrame:
+    """Candidates with their texts and all features; ``pool`` has name_foreign of the raw names, ``table`` is the reverse index."""
+    out = block_features(pairs)
+    if table is not None:
+        out = reverse_features(out, table)
+    out = with_texts(out, reference, pool)
+    out = ratio_features(scatter(set_features(out), "s1_id", "cand_id"))
+    out = out.drop("name_c_foreign").join(pool.select(F.col("entity_id").alias("cand_id"), F.col("name_foreign").alias("name_c_foreign")), "cand_id")
+    if tfidf:
+        out = materialize(out, "pair-features")
+        for kind in ("name", "addr"):
+            a, b = f"{kind}_s", f"{kind}_c"
+            texts = out.select(F.col(a).alias("text")).unionByName(out.select(F.col(b).alias("text")))
+            weights = materialize(gram_weights(texts, pool.where(F.col(kind) != "").select(F.col(kind).alias("text"))), "gram-weights")
+            out = cosine(out, a, b, weights).withColumnRenamed("cosine", f"{kind}_tfidf")
+        out = out.withColumn("addr_tfidf", F.when(F.col("addr_c") != "", F.col("addr_tfidf")))
+    return out
 
 
 def with_texts(pairs: DataFrame, reference: DataFrame, pool: DataFrame) -> DataFrame:
@@ -73,18 +110,14 @@ def block_features(pairs: DataFrame) -> DataFrame:
 def ratio_features(pairs: DataFrame) -> DataFrame:
     """Ratios by longest common subsequence; addresses are unknown if the candidate's is empty."""
     c = F.col
-    r, sort, sets, part = (scorer(n) for n in ("ratio", "token_sort", "token_set", "partial"))
     core_s, core_c = F.array_join(core_words(tokens(c("name_s"))), " "), F.array_join(core_words(tokens(c("name_c"))), " ")
     base = pairs.withColumns({"core_s": core_s, "core_c": core_c, "known_s": F.when(c("addr_c") != "", c("addr_s")), "known_c": F.when(c("addr_c") != "", c("addr_c"))})
-    base = base.withColumns({"joined_s": F.replace("core_s", F.lit(" "), F.lit("")), "joined_c": F.replace("core_c", F.lit(" "), F.lit(""))})
-    out = base.withColumns({
-        "name_ratio": r("name_s", "name_c"), "name_token_sort": sort("name_s", "name_c"), "name_token_set": sets("name_s", "name_c"),
-        "core_ratio": r("core_s", "core_c"), "core_joined_ratio": r("joined_s", "joined_c"), "core_token_set": sets("core_s", "core_c"), "core_partial": part("core_s", "core_c"),
-        "addr_ratio": r("known_s", "known_c"), "addr_token_sort": sort("known_s", "known_c"), "addr_token_set": sets("known_s", "known_c"),
-    })
+    # one pass over the batches for all ratios
+    made = all_ratios("name_s", "name_c", "core_s", "core_c", "known_s", "known_c")
+    out = base.withColumn("made", made).withColumns({n: c(f"made.{n}") for n in RATIOS}).drop("made")
     w = Window.partitionBy("s1_id")
     rel = {"name_token_set_rel": c("name_token_set") - F.max("name_token_set").over(w), "addr_token_set_rel": F.coalesce("addr_token_set", F.lit(0.0)) - F.coalesce(F.max("addr_token_set").over(w), F.lit(0.0))}
-    return out.withColumns(rel).drop("core_s", "core_c", "joined_s", "joined_c", "known_s", "known_c")
+    return out.withColumns(rel).drop("core_s", "core_c", "known_s", "known_c")
 
 
 def gram_weights(texts: DataFrame, corpus: DataFrame, least_df: int = 2) -> DataFrame:
@@ -109,4 +142,4 @@ def cosine(pairs: DataFrame, a: str, b: str, weights: DataFrame) -> DataFrame:
     x = weights.select(F.col("text").alias(a), "gram", F.col("weight").alias("wa"))
     y = weights.select(F.col("text").alias(b), "gram", F.col("weight").alias("wb"))
     dots = pairs.select(a, b).distinct().join(x, a).join(y, [b, "gram"]).groupBy(a, b).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return pairs.join(dots, [a, b], "left").withColumn("cosine", F.round(F.coalesce("cosine", F.lit(0.0)), 9))
+    return pairs.join(dots, [a, b], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -13,14 +13,45 @@ from pyspark.sql import DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Experiment:
-    """Settings of one training run."""
+    """Settings of one training run; ``plans.linkage`` reads every one of them."""
 
     name: str = "boosting"
-    learner: str = "boosting"
+    learner: str = "boosting"  # logistic, forest or boosting
     rounds: int = 20
-
-
-EXPERIMENTS = {"logistic": Experiment("logistic", "logistic"), "forest": Experiment("forest", "forest"), "boosting": Experiment()}
+    depth: int = 5
+    step: float = 0.1
+    least_rows: int = 20  # rows of a leaf
+    trees: int = 50
+    translit: bool = True
+    max_df: int = 1000
+    top_k: int = 50
+    train_share: float = 1.0  # of the training entities
+    tfidf: bool = False
+    extra: bool = False
+    reverse: bool = False
+    stage2: bool = False
+    noise: bool = False
+
+
+_FULL = {"learner": "boosting", "rounds": 400, "depth": 6, "least_rows": 50}
+_MANY = {"learner": "boosting", "rounds": 800, "depth": 7, "step": 0.05, "least_rows": 2}
+EXPERIMENTS = {
+    "logistic": Experiment("logistic", "logistic"), "forest": Experiment("forest", "forest", depth=10), "boosting": Experiment(),
+    "quick": Experiment("quick", "logistic", extra=True, reverse=True, stage2=True, noise=True, top_k=20),
+    "plain": Experiment("plain", **_FULL, translit=False, tfidf=True, train_share=0.25), "translit": Experiment("translit", **_FULL, tfidf=True, train_share=0.25), "more_entities": Experiment("more_entities", **_FULL, tfidf=True, train_share=0.75),
+    "wide": Experiment("wide", **_FULL, tfidf=True, top_k=100, train_share=0.25), "fast": Experiment("fast", **_FULL, top_k=100, train_share=0.5), "stage2": Experiment("stage2", **_FULL, top_k=100, stage2=True),
+    "reverse": Experiment("reverse", **_MANY, top_k=100, stage2=True, reverse=True), "extra": Experiment("extra", **_MANY, top_k=100, stage2=True, reverse=True, extra=True), "noise": Experiment("noise", **_MANY, top_k=100, stage2=True, reverse=True, extra=True, noise=True),
+    "large_forest": Experiment("large_forest", "forest", trees=100, depth=18, tfidf=True),
+}
+#: The second stage learns slower and in smaller trees.
+SECOND = {"boosting": {"rounds": 300, "step": 0.05, "depth": 5, "least_rows": 40}}
+
+
+def second_stage(experiment: Experiment) -> Experiment:
+    settings = SECOND.get(experiment.learner, {})
+    if experiment.rounds < 100:
+        settings = {k: v for k, v in settings.items() if k != "rounds"}
+    return replace(experiment, name=f"{experiment.name}_second", **settings)
 
 
 def prepare(pairs: DataFrame, features: list[str], missing: float | None = None) -> DataFrame:
@@ -35,18 +66,35 @@ def pipeline(experiment: Experiment, features: list[str], seed: int = 42) -> Pip
     """Logistic regression imputes medians and scales; trees see -1 for unknown values (set by ``prepare``)."""
     assemble = VectorAssembler(inputCols=features, outputCol="features")
     if experiment.learner == "logistic":
-        filled = [f"{f}__filled" for f in features]
+        filled, missing = [f"{f}__filled" for f in features], [f"{f}__missing" for f in features]
         return Pipeline(stages=[
-            Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"),
+            Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=[*filled, *missing], outputCol="raw"),
             StandardScaler(withMean=True, inputCol="raw", outputCol="features"), LogisticRegression(maxIter=50, regParam=1e-4),
         ])
     if experiment.learner == "forest":
-        return Pipeline(stages=[assemble, RandomForestClassifier(numTrees=50, maxDepth=10, minInstancesPerNode=20, subsamplingRate=0.3, seed=seed)])
-    return Pipeline(stages=[assemble, GBTClassifier(maxIter=experiment.rounds, stepSize=0.1, maxDepth=5, minInstancesPerNode=20, seed=seed)])
+        return Pipeline(stages=[assemble, RandomForestClassifier(numTrees=experiment.trees, maxDepth=experiment.depth, minInstancesPerNode=20, subsamplingRate=0.3, seed=seed)])
+    return Pipeline(stages=[assemble, GBTClassifier(maxIter=experiment.rounds, stepSize=experiment.step, maxDepth=experiment.depth, minInstancesPerNode=experiment.least_rows, seed=seed)])
 
 
 def _ready(pairs: DataFrame, experiment: Experiment, features: list[str]) -> DataFrame:
-    return prepare(pairs, features, None if experiment.learner == "logistic" else -1.0)
+    """Logistic regression gets a flag for each unknown value beside the median; trees get -1."""
+    if experiment.learner != "logistic":
+        return prepare(pairs, features, -1.0)
+    out = prepare(pairs, features)
+    # a column without any known value has no median
+    return out.select("*", *[F.col(f).isNull().cast("double").alias(f"{f}__missing") for f in features])
+
+
+def known_features(pairs: DataFrame, features: list[str]) -> list[str]:
+    """Features of which at least one pair knows the value."""
+    n = pairs.agg(*[F.count(f).alias(f) for f in features]).first()
+    return [f for f in features if n[f]]
+
+
+def weights(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+    """Weights of a logistic regression, largest first; ``__missing`` marks those of unknown values."""
+    names = [*features, *[f"{f}__missing" for f in features]]
+    return sorted(zip(names, model.stages[-1].coefficients.toArray().tolist(), strict=True), key=lambda x: -abs(x[1]))
 
 
 def fit(pairs: DataFrame, experiment: Experiment, features: list[str]) -> PipelineModel:

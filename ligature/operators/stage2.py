@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from ligature.functions.similarity import scorer
+from ligature.functions.similarity import ratio, scorer
 from ligature.functions.text import LEGAL_WORDS, tokens
 
 CONFIDENT = 0.9
@@ -41,10 +43,10 @@ def cross_features(pairs: DataFrame, most: int = 3) -> DataFrame:
     x = x.withColumns({"ka": F.when(both, F.col("addr_c")), "kb": F.when(both, F.col("o_addr"))})
     numbers = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"(?U)(\d+)"), 1))
     x = x.withColumns({
-        "token_set": scorer("token_set")("name_c", "o_name"), "ratio": scorer("ratio")("name_c", "o_name"), "addr_token_set": scorer("token_set")("ka", "kb"), "addr_ratio": scorer("ratio")("ka", "kb"),
+        "joined": scorer("ratio")(F.replace("name_c", F.lit(" "), F.lit("")), F.replace("o_name", F.lit(" "), F.lit(""))), "token_set": scorer("token_set")("name_c", "o_name"), "ratio": scorer("ratio")("name_c", "o_name"), "addr_token_set": scorer("token_set")("ka", "kb"), "addr_ratio": scorer("ratio")("ka", "kb"),
         "shared": F.size(F.array_intersect(numbers("addr_c"), numbers("o_addr"))), "empty": ((F.col("addr_c") == "") & (F.col("o_addr") == "")).cast("int"),
     })
-    best_of = x.groupBy("s1_id", "cand_id").agg(*[F.max(n).alias(f"other_{n}") for n in ("token_set", "ratio", "addr_token_set", "addr_ratio", "shared", "empty")])
+    best_of = x.groupBy("s1_id", "cand_id").agg(*[F.max(n).alias(f"other_{n}") for n in ("token_set", "ratio", "joined", "addr_token_set", "addr_ratio", "shared", "empty")])
     return pairs.join(best_of, ["s1_id", "cand_id"], "left")
 
 
@@ -69,19 +71,42 @@ def word_frequencies(reference: DataFrame) -> DataFrame:
     return reference.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+@F.pandas_udf(StructType([StructField("a", ArrayType(StringType())), StructField("b", ArrayType(StringType())), StructField("least", DoubleType())]))
+def _unmatched(left: pd.Series, right: pd.Series, matched: pd.Series) -> pd.DataFrame:
+    """Words of either side whose best ratio with a word of the other is below ``matched``, and the worst best ratio."""
+    out = []
+    for a, b, m in zip(left, right, matched, strict=True):
+        if not len(a) or not len(b):
+            out.append((None, None, None))
+            continue
+        rated = [[ratio(x, y) for y in b] for x in a]
+        best_a, best_b = [max(r) for r in rated], [max(c) for c in zip(*rated, strict=True)]
+        out.append(([x for x, r in zip(a, best_a, strict=True) if r < m], [y for y, r in zip(b, best_b, strict=True) if r < m], min(*best_a, *best_b)))
+    return pd.DataFrame(out, columns=["a", "b", "least"])
+
+
 def word_noise(pairs: DataFrame, frequencies: DataFrame, matched: float = 0.8) -> DataFrame:
-    """Unmatched words of either side, the commonest of them, and the worst of the words' best ratios."""
-    ratio = scorer("ratio")
+    """Unmatched words of either side, the commonest of them, and the worst of the words' best ratios; null if a side has no word.
+
+    The words of a pair are compared within its row; only those without a partner are counted against ``frequencies``.
+    """
     words = lambda c: F.filter(F.array_distinct(tokens(F.col(c))), lambda w: ~w.isin(*LEGAL_WORDS))
-    ids = pairs.select("s1_id", "cand_id", words("name_s").alias("a"), words("name_c").alias("b"))
-    both = ids.select("s1_id", "cand_id", F.explode("a").alias("x"), "b").select("s1_id", "cand_id", "x", F.explode("b").alias("y"))
-    rated = both.withColumn("r", ratio("x", "y"))
-    best_a = rated.groupBy("s1_id", "cand_id", F.col("x").alias("word")).agg(F.max("r").alias("r"))
-    best_b = rated.groupBy("s1_id", "cand_id", F.col("y").alias("word")).agg(F.max("r").alias("r"))
-
-    def side(best: DataFrame, name: str) -> DataFrame:
-        j = best.join(frequencies, "word", "left")
-        return j.groupBy("s1_id", "cand_id").agg(F.sum((F.col("r") < matched).cast("int")).alias(f"{name}_unmatched"), F.max(F.when(F.col("r") < matched, F.log1p(F.coalesce("n", F.lit(0))))).alias(f"{name}_unmatched_freq"), F.min("r").alias(f"{name}_least"))
-
-    out = pairs.join(side(best_a, "s1"), ["s1_id", "cand_id"], "left").join(side(best_b, "rec"), ["s1_id", "cand_id"], "left")
-    return out.withColumn("min_word_ratio", F.least("s1_least", "rec_least")).drop("s1_least", "rec_least")
+    rated = pairs.withColumn("u", _unmatched(words("name_s"), words("name_c"), F.lit(matched)))
+    rated = rated.withColumns({"s1_unmatched": F.when(F.col("u.a").isNotNull(), F.size("u.a")), "rec_unmatched": F.when(F.col("u.b").isNotNull(), F.size("u.b")), "min_word_ratio": F.col("u.least")})
+    side = lambda n, c: F.transform(c, lambda w: F.struct(F.lit(n).alias("side"), w.alias("word")))
+    words = rated.select("s1_id", "cand_id", F.explode(F.concat(side("s1", F.col("u.a")), side("rec", F.col("u.b")))).alias("w")).select("s1_id", "cand_id", "w.side", "w.word")
+    known = words.join(frequencies, "word", "left").withColumn("f", F.log1p(F.coalesce("n", F.lit(0))))
+    most = known.groupBy("s1_id", "cand_id").agg(*[F.max(F.when(F.col("side") == n, F.col("f"))).alias(f"{n}_unmatched_freq") for n in ("s1", "rec")])
+    return rated.drop("u").join(most, ["s1_id", "cand_id"], "left")
+
+
+#: Features of the second stage in their order; those of the first stage that it reads again, where the pairs have them.
+CONTEXT = ("p1", "p1_rank", "p1_gap_to_best", "p1_best_other", "n_confident", "n_confident_same_source", "n_confident_other_source", "n_above_half", "has_confident_other",
+           "other_token_set", "other_ratio", "other_joined", "other_addr_token_set", "other_addr_ratio", "other_shared", "other_empty")
+FIRST_STAGE = ("name_token_set", "core_joined_ratio", "addr_token_set", "num_shared", "num_conflict", "legal_conflict", "block_score_rel", "block_rank", "addr_c_empty", "name_c_foreign", "is_source3", "r_rank", "r_score", "r_best_other", "r_gap")
+NOISE = ("num_close_shared", "num_close_only", "num_conflict_close", "s1_unmatched", "rec_unmatched", "s1_unmatched_freq", "rec_unmatched_freq", "min_word_ratio")
+
+
+def feature_columns(pairs: DataFrame) -> list[str]:
+    """What the second stage's model reads: the context, and of the rest what the pairs have."""
+    return [*CONTEXT, *[c for c in (*FIRST_STAGE, *NOISE) if c in pairs.columns]]

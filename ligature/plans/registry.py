@@ -89,7 +89,7 @@ def src_reference(s, d):
 
 @query(f"with {Q.RECORDS} select entity_id, business_name, country from pool where country = 'India'")
 def src_pool_country(s, d):
-    return _pool(s, d).where("country = 'India'").select("entity_id", "business_name", "country")
+    return tables.pool_records(s, d, where=F.col("country") == "India").select("entity_id", "business_name", "country")
 
 
 @query(f"with {Q.RECORDS} select source1_entity_id, matched_entity_ids from m")
@@ -124,8 +124,8 @@ def sink_assemble(s, d):
 
 
 @query(f"""with {SCORED} {LISTED.format('scored')}, o as (select s.entity_id as id, coalesce(ids, []) as ids from s1 s left join listed on s1_id = s.entity_id), x as (select unnest(ids) as c from o)
-    select (select count(*) from o) as n_rows, (select count(*) from o where len(ids) = 0) as empty_lists, 0::bigint as carriage_returns, (select count(*) from (select c from x group by c having count(*) > 1)) as double_owned,
-    (select count(distinct c) from x) as distinct_ids, 0::bigint as missing, 0::bigint as unknown""")
+    select (select count(*) from o) as n_rows, (select count(*) from o where len(ids) = 0) as empty_lists, (select count(*) from o where contains(array_to_string(ids, ','), chr(13))) as carriage_returns, (select count(*) from (select c from x group by c having count(*) > 1)) as double_owned,
+    (select count(distinct c) from x) as distinct_ids, (select count(*) from s1 where entity_id not in (select id from o)) as missing, (select count(*) from o where id not in (select entity_id from s1)) as unknown""")
 def sink_validate(s, d):
     from ligature.workspace import materialize
 

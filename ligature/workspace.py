@@ -7,8 +7,11 @@ Tables are ordinary Parquet, so the loss of an executor costs a re-read and noth
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="ligature-")
+        folder = tempfile.mkdtemp(prefix="ligature-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
@@ -48,6 +55,17 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def cached(spark: SparkSession, make: Callable[[], DataFrame], folder: str, tag: str) -> DataFrame:
+    """The table ``folder/tag``; made and published there if nobody has done so yet."""
+    from ligature.sources.sinks import publish
+
+    path = f"{folder.rstrip('/')}/{tag}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        publish(make(), path)
+    return spark.read.parquet(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
     for df in tables:
