@@ -36,8 +36,8 @@ class Experiment:
 _FULL = {"learner": "boosting", "rounds": 400, "depth": 6, "least_rows": 50}
 _MANY = {"learner": "boosting", "rounds": 800, "depth": 7, "step": 0.05, "least_rows": 2}
 EXPERIMENTS = {
-    "logistic": Experiment("logistic", "logistic"), "forest": Experiment("forest", "forest", depth=10), "boosting": Experiment(),
-    "quick": Experiment("quick", "logistic", extra=True, reverse=True, stage2=True, noise=True, top_k=20),
+    "logistic": Experiment("logistic", "logistic", rounds=50), "forest": Experiment("forest", "forest", depth=10), "boosting": Experiment(),
+    "quick": Experiment("quick", "logistic", extra=True, reverse=True, stage2=True, noise=True, max_df=50, top_k=10),
     "plain": Experiment("plain", **_FULL, translit=False, tfidf=True, train_share=0.25), "translit": Experiment("translit", **_FULL, tfidf=True, train_share=0.25), "more_entities": Experiment("more_entities", **_FULL, tfidf=True, train_share=0.75),
     "wide": Experiment("wide", **_FULL, tfidf=True, top_k=100, train_share=0.25), "fast": Experiment("fast", **_FULL, top_k=100, train_share=0.5), "stage2": Experiment("stage2", **_FULL, top_k=100, stage2=True),
     "reverse": Experiment("reverse", **_MANY, top_k=100, stage2=True, reverse=True), "extra": Experiment("extra", **_MANY, top_k=100, stage2=True, reverse=True, extra=True), "noise": Experiment("noise", **_MANY, top_k=100, stage2=True, reverse=True, extra=True, noise=True),
@@ -69,7 +69,7 @@ def pipeline(experiment: Experiment, features: list[str], seed: int = 42) -> Pip
         filled, missing = [f"{f}__filled" for f in features], [f"{f}__missing" for f in features]
         return Pipeline(stages=[
             Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=[*filled, *missing], outputCol="raw"),
-            StandardScaler(withMean=True, inputCol="raw", outputCol="features"), LogisticRegression(maxIter=50, regParam=1e-4),
+            StandardScaler(withMean=True, inputCol="raw", outputCol="features"), LogisticRegression(maxIter=experiment.rounds, regParam=1e-4),
         ])
     if experiment.learner == "forest":
         return Pipeline(stages=[assemble, RandomForestClassifier(numTrees=experiment.trees, maxDepth=experiment.depth, minInstancesPerNode=20, subsamplingRate=0.3, seed=seed)])
