@@ -130,10 +130,10 @@ def rewrites_ascii(table: dict[str, str]) -> bool:
 class Rewriter:
     """Greedy leftmost-longest rewriting by an Aho-Corasick automaton, repeated to a fixed point."""
 
-    def __init__(self, table: dict[str, str], rounds: int = 6) -> None:
+    def __init__(self, table: dict[str, str]) -> None:
         import ahocorasick
 
-        self.table, self.rounds = table, rounds
+        self.table = table
         self.plain = rewrites_ascii(table)
         self.automaton = ahocorasick.Automaton()
         for k, v in table.items():
@@ -152,7 +152,7 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if not self.table or not self.plain and text.isascii() and text.isprintable():
             return text
-        for _ in range(self.rounds):
+        for _ in range(len(text) + 6):  # until nothing changes; the bound only guards against a circle
             new = self._once(text)
             if new == text:
                 break
