@@ -669,7 +669,9 @@ def _training(s, d):
 def _model_query(learner: str) -> None:
     def f(s, d):
         e = learn.EXPERIMENTS[learner]
-        oof = learn.out_of_fold(_training(s, d), e, _ML)
+        from ligature.workspace import materialize
+
+        oof = materialize(learn.out_of_fold(_training(s, d), e, _ML), "out-of-fold")
         return evaluation.rank_auc(oof, "probability", "label").withColumn("learner", F.lit(learner))
 
     f.__name__ = f"model_{learner}"
