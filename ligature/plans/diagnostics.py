@@ -147,9 +147,8 @@ def rev_distractors(s, d):
     select s1_id, cand_id, case when addr_c <> '' then round(coalesce(c, 0), 6) end as addr_tfidf from pairs left join dots on a = addr_s and b = addr_c""")
 def feat_tfidf_address(s, d):
     pairs = materialize(_pairs(s, d).select("s1_id", "cand_id", "addr_s", "addr_c"), "pairs")
-    texts = pairs.select(F.col("addr_s").alias("text")).unionByName(pairs.select(F.col("addr_c").alias("text")))
-    weights = materialize(features.gram_weights(texts, _norm(_pool(s, d)).where("addr <> ''").select(F.col("addr").alias("text"))), "weights")
-    return features.cosine(pairs, "addr_s", "addr_c", weights).select("s1_id", "cand_id", F.when(F.col("addr_c") != "", F.round("cosine", 6)).alias("addr_tfidf"))
+    made = features.tfidf_cosine(pairs, "addr_s", "addr_c", _norm(_pool(s, d)).where("addr <> ''").select(F.col("addr").alias("text")))
+    return made.select("s1_id", "cand_id", F.when(F.col("addr_c") != "", F.round("cosine", 6)).alias("addr_tfidf"))
 
 
 _TABLE = {"name_jaccard": _jac("ns", "nc"), "addr_jaccard": _jac("as_", "ac"), "core_jaccard": _jac("ks", "kc"), "num_jaccard": _jac("ds", "dc"), "score_all": "score_all", "block_rank": "block_rank"}
