@@ -1,6 +1,8 @@
 """What a job leaves in the driver and on disk while it runs."""
 
-from ligature.operators import features
+from pyspark.sql import functions as F
+
+from ligature.operators import blocking, features
 
 
 def test_tfidf_shuffles_no_pairs(spark):
@@ -15,3 +17,19 @@ def test_tfidf_shuffles_no_pairs(spark):
     known = {k for k in x if k[0] is not None}
     assert {k: x[k] for k in known} == {k: y[k] for k in known} and x[None, "a"] == 0
     assert 0.5 < x["12 main street", "12 main st"] < 1 and x["9 oak road", "9 oak road"] == 1
+
+
+def test_sweep_in_slices_compares_every_pair(spark):
+    def keys(side, n):
+        return spark.range(n).select(F.concat(F.lit(side), F.col("id")).alias("entity_id"), F.explode(F.array(*[F.concat(F.lit(f"k{m}-"), F.col("id") % m) for m in (2, 5, 11, 23)])).alias("key"))
+
+    a, b = keys("q", 60), keys("c", 90)
+    truth = spark.range(60).select(F.concat(F.lit("q"), F.col("id")).alias("s1_id"), F.concat(F.lit("c"), F.col("id")).alias("cand_id"))
+    dfs, ks = [4, 10, 20], [2, 5]
+    parts = [blocking.shared_keys(a, blocking.build_index(a, b, 90, m)).select(F.lit(m).alias("max_df"), "s1_id", "cand_id", "score_all") for m in dfs]
+    whole = blocking.sweep(parts[0].unionByName(parts[1]).unionByName(parts[2]), truth, dfs, ks)
+    rows = lambda df: sorted(map(tuple, df.select("max_df", "top_k", "pairs", "entities", "found").collect()))
+    expected = rows(whole)
+    assert len(expected) == 6
+    for most in (10**6, 100):
+        assert rows(blocking.sweep_in_slices(a, b, 90, truth, dfs, ks, most)) == expected
