@@ -3,6 +3,18 @@
 from pyspark.sql import functions as F
 
 from ligature.operators import blocking, features
+from ligature.workspace import materialize
+
+
+def _full_collections(spark) -> int:
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_driver_lets_go_after_each_table(spark):
+    before = _full_collections(spark)
+    assert materialize(spark.range(3), "three").count() == 3
+    assert _full_collections(spark) > before
 
 
 def test_tfidf_shuffles_no_pairs(spark):
