@@ -1,8 +1,11 @@
 """What a job leaves in the driver and on disk while it runs."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from ligature.operators import blocking, features
+from ligature.plans import linkage
 from ligature.workspace import materialize
 
 
@@ -17,6 +20,22 @@ def test_driver_lets_go_after_each_table(spark):
     assert _full_collections(spark) > before
 
 
+def test_er_train_fits_the_first_stage_once(spark, sf_dir, monkeypatch):
+    calls = []
+
+    def train(t, matches, e):
+        calls.append(e.name)
+        return linkage.Model(e, None, [], 0.4, "second", [], 0.7)
+
+    pairs = spark.createDataFrame([], "s1_id string, cand_id string, rule_score double")
+    monkeypatch.setattr(linkage, "pair_tables", lambda *a: SimpleNamespace(pairs=pairs))
+    monkeypatch.setattr(linkage, "train", train)
+    monkeypatch.setattr(linkage, "predict", lambda t, model, ids: pairs.select("s1_id", "cand_id", F.lit(float(model.second is None)).alias("probability")))
+    rows = {r.stage: r.threshold for r in linkage.er_train(spark, sf_dir).collect()}
+    assert rows == {"first_stage": 0.7, "both_stages": 0.4, "rule": 0.6}
+    assert len(calls) == 1
+
+
 def test_tfidf_shuffles_no_pairs(spark):
     texts = ["12 main street", "12 main st", "9 oak road", "", "  ", "zzz qqq", "main main street", "\u0928\u092e\u0938\u094d\u0924\u0947 road", "a"]
     pairs = spark.createDataFrame([(a, b) for a in [*texts, None] for b in texts], "a string, b string")
