@@ -1,12 +1,16 @@
 """What a job leaves in the driver and on disk while it runs."""
 
+import os
+import re
+from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from ligature.operators import blocking, features
 from ligature.plans import linkage
-from ligature.workspace import materialize
+from ligature.workspace import materialize, release
 
 
 def _full_collections(spark) -> int:
@@ -20,6 +24,32 @@ def test_driver_lets_go_after_each_table(spark):
     assert _full_collections(spark) > before
 
 
+def test_driver_gives_freed_memory_back(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    if not Path(f"/proc/{pid}/status").exists():
+        pytest.skip("memory can't be read here")
+
+    def resident() -> float:
+        return int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+
+    # memory outside the heap, freed but for a piece here and there that keeps the C library from shrinking
+    text = os.urandom(20_000)
+    made = []
+    for _ in range(600):
+        made.append(jvm.java.util.zip.Deflater())
+        made[-1].setInput(text)
+        made[-1].finish()
+        made[-1].deflate(bytearray(100))
+    for k, x in enumerate(made):
+        if k % 60 != 59:
+            x.end()
+    jvm.System.gc()
+    before = resident()
+    release(spark)
+    assert resident() < before - 30
+
+
 def test_er_train_fits_the_first_stage_once(spark, sf_dir, monkeypatch):
     calls = []
 
