@@ -38,7 +38,7 @@ def cross_features(pairs: DataFrame, most: int = 3) -> DataFrame:
     w = Window.partitionBy("s1_id").orderBy(F.desc("p1"), "cand_id")
     best = pairs.where(F.col("p1") >= CONFIDENT).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
     o = best.select("s1_id", F.col("cand_id").alias("o_id"), F.col("name_c").alias("o_name"), F.col("addr_c").alias("o_addr"))
-    x = pairs.select("s1_id", "cand_id", "name_c", "addr_c").join(o, "s1_id").where(F.col("cand_id") != F.col("o_id"))
+    x = pairs.select("s1_id", "cand_id", "name_c", "addr_c").join(o.hint("merge"), "s1_id").where(F.col("cand_id") != F.col("o_id"))
     both = (F.col("addr_c") != "") & (F.col("o_addr") != "")
     x = x.withColumns({"ka": F.when(both, F.col("addr_c")), "kb": F.when(both, F.col("o_addr"))})
     numbers = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"(?U)(\d+)"), 1))
@@ -47,7 +47,7 @@ def cross_features(pairs: DataFrame, most: int = 3) -> DataFrame:
         "shared": F.size(F.array_intersect(numbers("addr_c"), numbers("o_addr"))), "empty": ((F.col("addr_c") == "") & (F.col("o_addr") == "")).cast("int"),
     })
     best_of = x.groupBy("s1_id", "cand_id").agg(*[F.max(n).alias(f"other_{n}") for n in ("token_set", "ratio", "joined", "addr_token_set", "addr_ratio", "shared", "empty")])
-    return pairs.join(best_of, ["s1_id", "cand_id"], "left")
+    return pairs.join(best_of.hint("merge"), ["s1_id", "cand_id"], "left")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -97,7 +97,7 @@ def word_noise(pairs: DataFrame, frequencies: DataFrame, matched: float = 0.8) -
     words = rated.select("s1_id", "cand_id", F.explode(F.concat(side("s1", F.col("u.a")), side("rec", F.col("u.b")))).alias("w")).select("s1_id", "cand_id", "w.side", "w.word")
     known = words.join(frequencies, "word", "left").withColumn("f", F.log1p(F.coalesce("n", F.lit(0))))
     most = known.groupBy("s1_id", "cand_id").agg(*[F.max(F.when(F.col("side") == n, F.col("f"))).alias(f"{n}_unmatched_freq") for n in ("s1", "rec")])
-    return rated.drop("u").join(most, ["s1_id", "cand_id"], "left")
+    return rated.drop("u").join(most.hint("merge"), ["s1_id", "cand_id"], "left")
 
 
 #: Features of the second stage in their order; those of the first stage that it reads again, where the pairs have them.

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from ligature.operators import blocking, features
+from ligature.operators import blocking, features, keys, reverse, stage2
 from ligature.plans import linkage
 from ligature.workspace import materialize, release
 
@@ -66,6 +66,21 @@ def test_er_train_fits_the_first_stage_once(spark, sf_dir, monkeypatch):
     assert len(calls) == 1
 
 
+def test_keys_and_texts_are_not_broadcast(spark):
+    rows = [(str(i), "US", f"fox {i} foods", f"{i} high street", 0) for i in range(40)]
+    a = materialize(spark.createDataFrame(rows, "entity_id string, country string, name string, addr string, name_foreign int"), "few")
+    k = materialize(keys.record_keys(a, hashed=True), "few-keys")
+    found = blocking.candidates(k, k, 40, 5, 3)
+    vector = features.pair_vector(materialize(found, "few-candidates"), a, a, reverse.reverse_table(k, k, 40, 5))
+    vector = vector.withColumn("p1", F.lit(0.95))
+    # keys above max_df alone go to all tasks
+    common = "BroadcastExchange HashedRelationBroadcastMode(List(input[0, bigint, true])"
+    for df in (found, vector, stage2.cross_features(materialize(vector, "few-vectors"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastExchange") == plan.count(common)
+    assert {(r.s1_id, r.cand_id) for r in vector.collect()} >= {(str(i), str(i)) for i in range(40)}
+
+
 def test_tfidf_shuffles_no_pairs(spark):
     texts = ["12 main street", "12 main st", "9 oak road", "", "  ", "zzz qqq", "main main street", "\u0928\u092e\u0938\u094d\u0924\u0947 road", "a"]
     pairs = spark.createDataFrame([(a, b) for a in [*texts, None] for b in texts], "a string, b string")
