@@ -1,7 +1,9 @@
 """What a job leaves in the driver and on disk while it runs."""
 
+import gc
 import os
 import re
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -50,6 +52,36 @@ def test_driver_gives_freed_memory_back(spark):
     assert resident() < before - 30
 
 
+def test_driver_shrinks_its_heap(spark):
+    jvm = spark.sparkContext._jvm
+    bean = jvm.java.lang.management.ManagementFactory.getMemoryMXBean()
+    held = [jvm.java.nio.ByteBuffer.allocate(1_000_000) for _ in range(200)]
+    del held
+    time.sleep(3)  # objects are let go by a thread
+    for _ in range(2):
+        release(spark)
+    heap = bean.getHeapMemoryUsage()
+    assert heap.getCommitted() < 2.2 * heap.getUsed() + 20_000_000
+
+
+def test_driver_lets_go_of_what_cycles_hold(spark):
+    jvm = spark.sparkContext._jvm
+    gc.disable()
+    try:
+        holder = SimpleNamespace(text=jvm.java.lang.StringBuilder("held by a cycle"))
+        holder.self = holder
+        seen = jvm.java.lang.ref.WeakReference(holder.text)
+        del holder
+        for _ in range(10):
+            release(spark)
+            if gone := seen.get() is None:
+                break
+            time.sleep(0.5)
+    finally:
+        gc.enable()
+    assert gone
+
+
 def test_er_train_fits_the_first_stage_once(spark, sf_dir, monkeypatch):
     calls = []
 
