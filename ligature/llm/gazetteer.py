@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ligature.llm.names import damerau
 from ligature.llm.places import read_parts
-from ligature.workspace import discard, materialize, scatter
+from ligature.workspace import discard, materialize, scatter, spread
 
 PLACE = ["country", "town", "street", "direction", "number", "type"]
 #: A spelling of fewer letters than this has no near ones: one edit makes another word of it.
@@ -42,6 +44,29 @@ def read_addresses(addresses: DataFrame) -> DataFrame:
     return scatter(addresses, "country", "address").mapInPandas(_read, f"country string, address string, unit string, readings array<{reading}>")
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, to) of rows (key, at, uses), sorted by key: all pairs of a key, towards the one that isn't used less."""
+    held = [np.empty(0, np.int64) for _ in range(3)]
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, at, uses = rows
+        first, step = np.arange(len(key)), 1
+        while len(first := first[first + step < len(key)]) and len(first := first[key[first] == key[first + step]]):
+            a, b = first, first + step
+            up, down = uses[b] >= uses[a], uses[a] >= uses[b]
+            x, y = np.concatenate([at[a[up]], at[b[down]]]), np.concatenate([at[b[up]], at[a[down]]])
+            yield pa.record_batch([pa.array(x[x != y]), pa.array(y[x != y])], ["at", "to"])
+            step += 1
+
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+        # the last key may go on in the next batch
+        n = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        yield from pairs([x[:n] for x in rows])
+        held = [x[n:] for x in rows]
+    yield from pairs(held)
+
+
 def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str) -> DataFrame:
     """(scope..., word, meant): a spelling and one not less common, one edit away, that it may stand for.
 
@@ -53,8 +78,9 @@ def near_spellings(words: DataFrame, scope: list[str], word: str, uses: str) ->
     # only hashes are exploded and joined; the words themselves come back for the pairs that are left
     named = rows.withColumn("at", F.xxhash64(*scope, "word"))
     keyed = named.select("at", "uses", F.explode(F.array_distinct(F.transform(F.concat(F.array("word"), cut), lambda x: F.xxhash64(*scope, x)))).alias("key"))
-    a, b = keyed.select("key", "at", F.col("uses").alias("n")), keyed.select("key", F.col("at").alias("to"), F.col("uses").alias("m"))
-    pairs = a.join(b, "key").where((F.col("m") >= F.col("n")) & (F.col("at") != F.col("to"))).select("at", "to").distinct()
+    # spellings of one key stand together after one sort; a join of the keys with themselves would shuffle them twice
+    sorted_keys = keyed.repartition(spread(words.sparkSession), "key").sortWithinPartitions("key").select("key", "at", F.col("uses").cast("long"))
+    pairs = sorted_keys.mapInArrow(_meet, "at long, to long").distinct()
     meant = named.select(F.col("at").alias("to"), F.col("word").alias("meant"), F.col("uses").alias("m"))
     pairs = pairs.join(named.select("at", *scope, "word", "uses"), "at").join(meant, "to").where((F.col("m") > F.col("uses")) | (F.col("meant") < F.col("word")))
     pairs = pairs.where(F.greatest(F.length("word"), F.length("meant")) >= LEAST)
@@ -89,7 +115,8 @@ def resolve(addresses: DataFrame, beam: int = 4) -> DataFrame:
     # streets of the towns as stated there, without the addresses' own guesses at other towns
     streets = step.groupBy("country", "town", "street").agg(F.countDistinct("number", "at").alias("uses"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("stated"))
     streets = materialize(streets, "streets")
-    other = near_spellings(streets, ["country", "town"], "street", "uses").select("country", "town", F.col("word").alias("street"), "meant", F.lit(1).alias("off"))
+    # written by itself, so that its shuffles are gone before those of the search begin
+    other = materialize(near_spellings(streets, ["country", "town"], "street", "uses").select("country", "town", F.col("word").alias("street"), "meant", F.lit(1).alias("off")), "street-spellings")
     support = streets.select("country", "town", F.col("street").alias("meant"), "uses", "stated")
     to_street = streets.select("country", "town", "street", F.col("street").alias("meant"), F.lit(0).alias("off"), "uses", "stated").unionByName(other.join(support, ["country", "town", "meant"]))
     last = step.join(to_street, ["country", "town", "street"])
@@ -98,7 +125,7 @@ def resolve(addresses: DataFrame, beam: int = 4) -> DataFrame:
     stated = F.col("stated") > F.when((F.col("edits") == 0) & (F.col("off") == 0), 1).otherwise(0)
     one = _best(last, [~(others & stated), F.col("edits") + F.col("off"), F.desc("uses"), F.desc("town_uses"), "reading", "town", "meant"], 1)
     one = materialize(one.select("at", "country", "town", F.col("meant").alias("street"), "direction", "number", "type"), "places")
-    discard(step, towns, streets)
+    discard(step, towns, streets, other)
     # a number on the same street, or in the same town, is evidence enough to take one edit as a typo
     for name, rest in (("town", "street"), ("street", "town"), ("town", "street")):
         before, one = one, _settle(one, ["country", "direction", "number", rest], name)

@@ -16,6 +16,7 @@ The weights are parameters. The defaults were set by hand and held against the k
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -108,7 +109,10 @@ def likeness(a: Column, b: Column) -> Column:
 def similarities() -> dict[str, Column]:
     """Field similarities of columns a_* and b_*, in the order of NAMES."""
     c = F.col
-    name = F.greatest(likeness(c("a_sorted"), c("b_sorted")), likeness(c("a_run"), c("b_run")), likeness(c("a_back"), c("b_run")))
+    spelled = [(c("a_sorted"), c("b_sorted")), (c("a_run"), c("b_run")), (c("a_back"), c("b_run"))]
+    # of equal names no edits are counted, whichever spelling is equal
+    equal = (spelled[0][0] == spelled[0][1]) | (spelled[1][0] == spelled[1][1]) | (spelled[2][0] == spelled[2][1])
+    name = F.when(equal, 1.0).otherwise(F.greatest(*[likeness(a, b) for a, b in spelled]))
     both = (c("a_line") != "") & (c("b_line") != "")
     la, lb = F.split("a_line", " "), F.split("b_line", " ")
     same = both & ((c("a_line") == c("b_line")) | (F.size(F.array_except(la, lb)) == 0) | (F.size(F.array_except(lb, la)) == 0))
@@ -130,6 +134,9 @@ def signature(words: list[str]) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+#: The half of a door that stands for the house number.
+_NUMBER = (1 << 32) - 1
+
 FIELDS = ["id", "country", "source", "words", "first", "line", "town", "street", "direction", "number", "type", "bits"]
 READING = FIELDS[1:]
 RECORD = "id string, country string, source int, words array<string>, first string, line string, town string, street string, direction string, number string, type string, bits long"
@@ -155,7 +162,7 @@ def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address:
         sides.append(rows.select("id", "x.name", "x.address", "x.country", F.lit(n).alias("source")))
     both = materialize(sides[0].unionByName(sides[1]), "sides")
     places = resolve(both.where("address is not null").select("country", "address").distinct())
-    located = both.join(places, ["country", "address"], "left").drop("address")
+    located = both.join(places.drop("unit"), ["country", "address"], "left").drop("address")
     read = scatter(located, "id").mapInPandas(_read(line_usage(both, "name", "country")), RECORD)
     out = materialize(read, "records")
     discard(both, places)
@@ -164,7 +171,8 @@ def records(reference: DataFrame, pool: DataFrame, key: str, name: str, address:
 
 def distinct_readings(r: DataFrame) -> DataFrame:
     """The readings of records, each once for a source, with their number of records and smallest key."""
-    alike = r.groupBy(*READING).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    # sorted by a number first: comparing it ends most comparisons
+    alike = r.groupBy("bits", *[c for c in READING if c != "bits"]).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
     # numbers stand for the readings while pairs are made; they are fixed by being written
     return materialize(alike.withColumn("row", F.monotonically_increasing_id()), "readings")
 
@@ -176,39 +184,55 @@ def members(r: DataFrame, readings: DataFrame, source: int, name: str) -> DataFr
     return r.where(F.col("source") == source).select("id", *on).join(numbers, on).select(name, "id")
 
 
+def _passes(r: DataFrame) -> list[tuple[int, Column]]:
+    """The keys of a reading: the pass of each, and whether the reading has it."""
+    some, placed = F.size("words") > 0, F.col("number") != ""
+    return [(1, placed), (2, some), (3, some), (3, some & (F.col("source") == 0) & (F.size("words") > 1)), (4, some), (5, some)]
+
+
+def key_count(r: DataFrame) -> int:
+    """Number of rows of ``sort_keys``, without making the keys."""
+    return r.agg(F.sum(sum((has.cast("long") for _, has in _passes(r)), F.lit(0)))).first()[0] or 0
+
+
 def sort_keys(r: DataFrame) -> DataFrame:
     """Rows (head, key, source, row, bits, door) for all passes; a pass whose fields are empty has no row of the record.
 
     The head is a number made of the pass, the country's hash and the first five bytes of the key, in the
-    order of the key: most comparisons of the sort end with it.
+    order of the key: most comparisons of the sort end with it. The upper half of the door stands for country,
+    town and street, the lower one for the house number; 0 is no door.
     """
-    words = F.array_join(F.array_sort("words"), " ")
+    words = F.array_join(F.sort_array("words"), " ")
     run, back = F.array_join("words", ""), F.array_join(F.reverse("words"), "")
     place = F.concat_ws("|", "town", "street", "number", "direction")
-    bones = F.regexp_replace(F.regexp_replace(F.array_join(F.array_sort(F.transform("words", lambda w: F.regexp_replace(F.regexp_replace(w, "[aeiouyh]", ""), r"(.)\1+", "$1"))), " "), "ks", "x"), "w", "v")
-    some, placed = F.size("words") > 0, F.col("number") != ""
+    # all words at once, as patterns cost less on one text; no word has a blank
+    bones = F.regexp_replace(F.translate(F.array_join("words", " "), "aeiouyh", ""), r"([^ ])\1+", "$1")
+    bones = F.translate(F.replace(F.array_join(F.sort_array(F.split(bones, " ")), " "), F.lit("ks"), F.lit("x")), "w", "v")
     bar = F.lit("|")
-    keys = [
-        (1, placed, F.concat(place, bar, words)), (2, some, F.concat(words, bar, "first", bar, place)), (3, some, F.concat(run, bar, "first", bar, place)),
-        (3, some & (F.col("source") == 0) & (F.size("words") > 1), F.concat(back, bar, "first", bar, place)), (4, some, F.concat(F.reverse(words), bar, place)), (5, some, F.concat(bones, bar, place)),
-    ]
-    made = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("pass"), k.alias("key"))) for n, c, k in keys]), lambda x: x.isNotNull())
-    door = F.when(placed, F.xxhash64("country", "town", "street", "number"))
-    out = r.select(F.explode(made).alias("k"), F.pmod(F.xxhash64("country"), F.lit(1 << 16)).alias("land"), "country", "source", "row", "bits", door.alias("door"))
+    keys = [F.concat(place, bar, words), F.concat(words, bar, F.col("first"), bar, place), F.concat(run, bar, F.col("first"), bar, place), F.concat(back, bar, F.col("first"), bar, place), F.concat(F.reverse(words), bar, place), F.concat(bones, bar, place)]
+    made = F.array(*[F.when(has, F.struct(F.lit(n).alias("pass"), k.alias("key"))) for (n, has), k in zip(_passes(r), keys, strict=True)])
+    door = F.when(F.col("number") != "", F.shiftleft(F.hash("country", "town", "street").cast("long"), 32).bitwiseOR(F.hash("number").cast("long").bitwiseAND(F.lit(_NUMBER))))
+    out = r.select(F.explode(made).alias("k"), F.pmod(F.xxhash64("country"), F.lit(1 << 16)).alias("land"), "country", "source", "row", "bits", door.alias("door")).where("k is not null")
     begin = F.conv(F.rpad(F.hex(F.substring(F.encode("k.key", "utf-8"), 1, 5)), 10, "0"), 16, 10).cast("long")
     return out.select((F.col("k.pass") * (1 << 56) + F.col("land") * (1 << 40) + begin).alias("head"), F.concat("country", bar, "k.key").alias("key"), "source", "row", "bits", "door")
 
 
-def _near(bits_a: np.ndarray, bits_b: np.ndarray, door_a: np.ndarray, door_b: np.ndarray, share: float) -> np.ndarray:
-    """Whether two records may match: at one door, or with this share of the letter pairs of the shorter name in common."""
-    if share <= 0:
-        return np.ones(len(bits_a), bool)
-    common = np.bitwise_count(bits_a & bits_b).astype(np.int32)
-    least = np.minimum(np.bitwise_count(bits_a), np.bitwise_count(bits_b)).astype(np.int32)
-    return ((door_a == door_b) & (door_a != 0)) | ((least > 0) & (common >= share * least))
+def _near(bits_a: np.ndarray, bits_b: np.ndarray, door_a: np.ndarray, door_b: np.ndarray, share: float, other_doors: bool = True) -> np.ndarray:
+    """Whether two records may match: at one door, or with this share of the letter pairs of the shorter name in common.
 
+    Without ``other_doors`` no two records match whose house numbers are known and differ.
+    """
+    out = np.ones(len(bits_a), bool)
+    if share > 0:
+        common = np.bitwise_count(bits_a & bits_b).astype(np.int32)
+        least = np.minimum(np.bitwise_count(bits_a), np.bitwise_count(bits_b)).astype(np.int32)
+        out = ((door_a == door_b) & (door_a != 0)) | ((least > 0) & (common >= share * least))
+    if not other_doors:
+        out &= (door_a == 0) | (door_b == 0) | (((door_a ^ door_b) & _NUMBER) == 0)
+    return out
 
-def _slide(window: int, share: float):
+
+def _slide(window: int, share: float, other_doors: bool = True):
     names = ("kind", "reference", "pool", "source", "bits", "door", "part", "at")
 
     def batch(kind: int, *columns) -> pa.RecordBatch:
@@ -234,7 +258,7 @@ def _slide(window: int, share: float):
                 differ = source[:-step] != source[step:]
                 differ[: max(0, old - step)] = False  # both held over from before: compared already
                 at = np.flatnonzero(differ)
-                at = at[_near(bits[at], bits[at + step], door[at], door[at + step], share)]
+                at = at[_near(bits[at], bits[at + step], door[at], door[at + step], share, other_doors)]
                 first = source[at] == 0
                 if len(at):
                     yield batch(0, np.where(first, row[at], row[at + step]), np.where(first, row[at + step], row[at]), 0, 0, 0, part, 0)
@@ -251,19 +275,20 @@ def _slide(window: int, share: float):
     return run
 
 
-def neighbours(rows: DataFrame, window: int, share: float = SHARE, part_rows: int = 250_000) -> DataFrame:
+def neighbours(rows: DataFrame, window: int, share: float = SHARE, part_rows: int = 250_000, other_doors: bool = True, total: int | None = None) -> DataFrame:
     """Distinct (reference, pool) rows that lie at most ``window`` places apart in the order of the keys and may match.
 
-    ``share`` is that of ``_near``; 0 keeps every pair. Partitions of the order hold about ``part_rows`` rows.
+    ``share`` and ``other_doors`` are those of ``_near``; 0 keeps every pair. Partitions of the order hold about
+    ``part_rows`` rows; ``total`` is the number of rows, if it is known.
     """
     order = [c for c in ("head", "key", "source", "row") if c in rows.columns]
-    total = rows.count()
+    total = rows.count() if total is None else total
     # partitions much larger than a window, so that a window meets one seam at most
     parts = int(max(1, min(max(spread(rows.sparkSession), total // part_rows), total // (50 * window))))
     while True:
         ordered = rows.select(*order, "bits", "door").repartitionByRange(parts, *order).sortWithinPartitions(*order)
         ordered = ordered.select("key", "source", "row", "bits", "door")
-        made = materialize(ordered.mapInArrow(_slide(window, share), "kind int, reference long, pool long, source int, bits long, door long, part int, at int"), "windows")
+        made = materialize(ordered.mapInArrow(_slide(window, share, other_doors), "kind int, reference long, pool long, source int, bits long, door long, part int, at int"), "windows")
         full = made.where((F.col("kind") == 3) & (F.col("pool") >= window)).count()
         if parts == 1 or full == parts:
             break
@@ -279,6 +304,8 @@ def neighbours(rows: DataFrame, window: int, share: float = SHARE, part_rows: in
     if share > 0:
         common = F.bit_count(c("bits_x").bitwiseAND(c("bits_y"))) >= share * F.least(F.bit_count("bits_x"), F.bit_count("bits_y"))
         both = both.where(((c("door_x") == c("door_y")) & (c("door_x") != 0)) | (common & (c("bits_x") != 0) & (c("bits_y") != 0)))
+    if not other_doors:
+        both = both.where((c("door_x") == 0) | (c("door_y") == 0) | (c("door_x").bitwiseXOR(c("door_y")).bitwiseAND(F.lit(_NUMBER)) == 0))
     first = c("source_x") == 0
     both = both.select(F.when(first, c("pool_x")).otherwise(c("pool_y")).alias("reference"), F.when(first, c("pool_y")).otherwise(c("pool_x")).alias("pool"))
     out = materialize(made.where("kind = 0").select("reference", "pool").unionByName(both).distinct(), "pairs")
@@ -301,9 +328,20 @@ def equal_readings(readings: DataFrame) -> DataFrame:
     return meet(True, True, ["town", "street", "direction", "number"]).unionByName(meet(False, None, named)).unionByName(meet(True, False, named))
 
 
-def scored_readings(readings: DataFrame, window: int, weights: tuple[float, ...], share: float = SHARE) -> DataFrame:
-    """Compared pairs of readings: (reference, pool, least_id, copies, confidence, NAMES...); id and number of the reference's records."""
-    near = neighbours(sort_keys(readings), window, share)
+def most_at_other_doors(weights: tuple[float, ...]) -> float:
+    """The highest confidence that records can have whose house numbers are known and differ: all else alike."""
+    w = dict(zip(NAMES, weights[1:], strict=True))
+    total = weights[0] + max(w["name"], 0) + max(w["line_same"], w["line_open"], w["line_other"]) + max(w["first_other"], 0) + w["place_other"]
+    return 1 / (1 + math.exp(min(-total, 700)))
+
+
+def scored_readings(readings: DataFrame, window: int, weights: tuple[float, ...], share: float = SHARE, least: float = 0.0) -> DataFrame:
+    """Compared pairs of readings: (reference, pool, least_id, copies, confidence, NAMES...); id and number of the reference's records.
+
+    Pairs that can't reach the confidence ``least``, whatever their names, may be left out before they are compared.
+    """
+    other_doors = most_at_other_doors(weights) >= least - 1e-6
+    near = neighbours(sort_keys(readings), window, share, other_doors=other_doors, total=key_count(readings))
     pairs = near.unionByName(equal_readings(readings)).distinct()
     words = F.col("words")
     sides = readings.select("source", "row", "id", "copies", "country", "line", "first", "number", "town", "street", "direction", "type", F.array_join(F.array_sort(words), "").alias("sorted"), F.array_join(words, "").alias("run"), F.array_join(F.reverse(words), "").alias("back"))
@@ -339,10 +377,11 @@ def match(reference: DataFrame, pool: DataFrame, key: str, name: str, address: s
     """
     r = records(reference, pool, key, name, address, country)
     readings = distinct_readings(r)
-    pairs = scored_readings(readings, window, weights, share).select("pool", "least_id", "copies", F.round("confidence", 9).alias("confidence"))
+    pairs = scored_readings(readings, window, weights, share, least).select("pool", "least_id", "copies", F.round("confidence", 9).alias("confidence"))
     w = Window.partitionBy("pool")
     best = pairs.withColumn("top", F.max("confidence").over(w)).where("confidence = top").groupBy("pool").agg(F.min("least_id").alias("reference"), (F.max("confidence") / F.sum("copies")).alias("confidence"), F.max("confidence").alias("undivided"))
-    best = best.where(F.col("undivided") >= least)
+    # what the comparison shuffled is gone before the records are looked up
+    best = materialize(best.where(F.col("undivided") >= least).drop("undivided"), "best")
     return best.join(members(r, readings, 1, "pool"), "pool").select("reference", F.col("id").alias("pool"), "confidence")
 
 

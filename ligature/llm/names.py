@@ -124,10 +124,10 @@ def _near_lines() -> dict[str, list[str]]:
 
 
 @lru_cache(1)
-def _lines_by_letter() -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
+def _lines_by_letter() -> dict[str, list[tuple[str, frozenset]]]:
+    out: dict[str, list[tuple[str, frozenset]]] = {}
     for w in LINES_OF_BUSINESS:
-        out.setdefault(w[0], []).append(w)
+        out.setdefault(w[0], []).append((w, frozenset(w)))
     return out
 
 
@@ -176,8 +176,11 @@ class Lines:
             near = [known for x in deletions(word) for known in _near_lines().get(x, ()) if damerau(word, known, 1) <= 1 and known != word + "y"]  # a baker is no bakery
             if near:
                 return LINES.get(min(near, key=lambda w: (-self.used.get(LINES.get(w, ""), 0), w)), "")
-        some = _lines_by_letter().get(word[:1], ())
-        short = [w for w in some if abbreviates(word, w)] or [w for w in some if 5 <= len(word) < len(w) and _CLIPPED.search(word) and any(abbreviates(x, w) for x in deletions(word))]
+        # a short form has no letter that the word lacks, with a typo one at most
+        some, letters = _lines_by_letter().get(word[:1], ()), frozenset(word)
+        short = [w for w, has in some if letters <= has and abbreviates(word, w)]
+        if not short and len(word) >= 5 and _CLIPPED.search(word):
+            short = [w for w, has in some if len(word) < len(w) and len(letters - has) <= 1 and any(abbreviates(x, w) for x in deletions(word))]
         return LINES[min(short, key=lambda w: (-self.used.get(LINES[w], 0), not w.startswith(word), w[-1] != word[-1], len(w), w))] if short else None
 
 

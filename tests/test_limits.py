@@ -2,6 +2,7 @@
 
 import gc
 import os
+import random
 import re
 import time
 from pathlib import Path
@@ -10,6 +11,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from ligature.llm import gazetteer, matching, names
 from ligature.operators import blocking, features, keys, reverse, stage2
 from ligature.plans import linkage
 from ligature.workspace import materialize, release
@@ -141,3 +143,72 @@ def test_sweep_in_slices_compares_every_pair(spark):
     assert len(expected) == 6
     for most in (10**6, 100):
         assert rows(blocking.sweep_in_slices(a, b, 90, truth, dfs, ks, most)) == expected
+
+
+def test_pairs_that_cannot_match_are_not_compared(spark, monkeypatch):
+    schema = "entity_id string, n string, a string, country string"
+    name = "Foxbrook Denham Foods"
+    ref = spark.createDataFrame([("S1-1", name, "42 Wexley St, Dunmore", "US"), ("S1-2", name, "7 Wexley St, Dunmore", "US"), ("S1-3", "Tarrow Quill", None, "US")], schema)
+    rows = [(f"S2-{i:02d}", name, f"{i} Wexley St, Dunmore", "US") for i in range(1, 31)] + [("S3-1", name, None, "US"), ("S3-2", "Foxbrok Denham", "42 Wexley Street, Dunmore, OH", "US"), ("S3-3", "Tarow Quill", "9 Elm St, Dunmore", "US")]
+    pool = spark.createDataFrame(rows, schema)
+    made, neighbours = [], matching.neighbours
+
+    def counted(*a, **k):
+        out = neighbours(*a, **k)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "neighbours", counted)
+    found = {(r.reference, r.pool) for r in matching.match(ref, pool, "entity_id", "n", "a", "country").collect()}
+    best = {}
+    for r in matching.scored_pairs(ref, pool, "entity_id", "n", "a", "country").collect():  # compares all of them
+        best.setdefault(r.pool, []).append((-round(r.confidence, 9), r.reference))
+    assert found == {(min(x)[1], pool) for pool, x in best.items() if -min(x)[0] >= 0.35}
+    assert {("S1-2", "S2-07"), ("S1-1", "S3-2"), ("S1-3", "S3-3")} <= found
+    assert made[0] < made[1] / 2  # other house numbers are left out of the pairs
+    assert matching.most_at_other_doors(matching.WEIGHTS) < 0.35 < matching.most_at_other_doors((*matching.WEIGHTS[:8], 6.0, 0.0))
+
+
+def test_other_doors_over_partitions(spark):
+    rng = random.Random(5)
+    door = lambda: rng.choice([None, *[(rng.randrange(-5, 5) << 32) + n for n in (1, 2, 3)]])
+    rows = [(f"{rng.random():.9f}", i % 2, i, -1, door()) for i in range(3000)]
+    order, wanted = sorted(rows, key=lambda x: x[0]), set()
+    for i, a in enumerate(order):
+        for b in order[i + 1 : i + 4]:
+            if a[1] != b[1] and (not a[4] or not b[4] or (a[4] ^ b[4]) & (2**32 - 1) == 0):
+                wanted.add((a[2], b[2]) if a[1] == 0 else (b[2], a[2]))
+    df = spark.createDataFrame(rows, "key string, source int, row long, bits long, door long")
+    got = [(r.reference, r.pool) for r in matching.neighbours(df, 3, part_rows=200, other_doors=False, total=len(rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_sort_keys_are_counted_without_being_made(spark):
+    schema = "row long, country string, source int, words array<string>, first string, line string, town string, street string, direction string, number string, type string, bits long"
+    rows = [(0, "US", 0, ["books", "aeio", "waxks"], "j", "", "dunmore", "elm", "", "4", "street", 1), (1, "US", 1, ["fox", "den"], "", "", "", "", "", "", "", 3), (2, "US", 1, [], "", "", "dunmore", "elm", "", "4", "", 0), (3, "US", 0, ["fox"], "", "", "", "", "", "", "", 3)]
+    r = spark.createDataFrame(rows, schema)
+    keys = matching.sort_keys(r)
+    got = sorted((k.row, k["head"] >> 56, k["key"]) for k in keys.collect())
+    assert matching.key_count(r) == keys.count() == len(got) == 6 + 4 + 1 + 4
+    assert [k for _, n, k in got if n == 5] == ["US| bx vxx|dunmore|elm|4|", "US|dn fx||||", "US|fx||||"]
+    assert matching.key_count(r.where("false")) == 0
+    doors = {k.row: k.door for k in keys.collect()}
+    assert doors[0] == doors[2] and doors[0] and doors[1] is None
+
+
+def test_spellings_are_shuffled_once(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 7))) for _ in range(250)} | {"abc5"})
+    rows = [(s, w, rng.randrange(1, 4)) for s in ("x", "y") for w in words]
+    df = materialize(spark.createDataFrame(rows, "scope string, word string, uses long"), "spellings")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")  # spellings of one key in several batches
+    try:
+        near = gazetteer.near_spellings(df, ["scope"], "word", "uses")
+        got = [tuple(r) for r in near.collect()]
+    finally:
+        spark.conf.set(size, before)
+    assert near._jdf.queryExecution().executedPlan().toString().count("Generate") <= 2  # the plan shows first and final form
+    wanted = {(s, a, b) for s, a, m in rows for t, b, n in rows if s == t and a != b and (n > m or n == m and b < a) and min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and "5" not in a + b and names.damerau(a, b) <= 1}
+    assert len(got) == len(set(got)) and set(got) == wanted
